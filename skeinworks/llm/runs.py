@@ -27,6 +27,8 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from skeinworks.session import stash
+
 TYPES = ["Goal", "Think", "Action", "Observation"]
 STRETCH_BITS = 12
 STRETCH = 1 << STRETCH_BITS
@@ -216,7 +218,7 @@ def event_runs(log: DataFrame) -> DataFrame:
     )
     span = F.col("last_logged") - F.col("first_logged")
     seconds = sum(F.extract(F.lit(unit), span).cast("double") * n for unit, n in (("DAY", 86400), ("HOUR", 3600), ("MINUTE", 60), ("SECOND", 1)))
-    return joined_borders(runs).select(
+    return joined_borders(stash(runs, "runs")).select(
         F.col("session").alias("trajectory_id"),
         F.col("kind").alias("block_type"),
         "first_seq",
