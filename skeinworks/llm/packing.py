@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from skeinworks.functions.words import WORD
+from skeinworks.session import stash
 
 SIZED, LOSS = ["Goal", "Think", "Action", "Observation"], ["Think", "Action"]
 SHARD = 50_000
@@ -52,7 +53,8 @@ def trajectory_sizes(trajectories: DataFrame) -> DataFrame:
     """``traj_no, tokens, loss_tokens``, each ``traj_no`` once; texts are counted where they are read, only numbers are shuffled."""
 
     def text(types: list[str]):
-        kept = F.filter("blocks", lambda b: b["type"].isin(types) & b["text"].isNotNull())
+        blocks = F.arrays_zip(F.col("blocks.type").alias("type"), F.col("blocks.text").alias("text"))
+        kept = F.filter(blocks, lambda b: b["type"].isin(types) & b["text"].isNotNull())
         return F.array_join(F.transform(kept, lambda b: b["text"]), "\n")
 
     rows = trajectories.filter("traj_no IS NOT NULL").select("traj_no", "loaded_at", text([t for t in SIZED if t not in LOSS]).alias("other"), text(LOSS).alias("loss_tokens"))
@@ -149,6 +151,7 @@ def pack(sizes: DataFrame, packs: DataFrame, max_segments: int = 1024, max_loss_
     rows = packs.filter("max_len >= 1 AND pack_name IS NOT NULL").select("pack_name", F.col("max_len").cast("int")).limit(1001).collect()
     if len(rows) > 1000:
         raise ValueError("more than 1,000 capacities")
+    sizes = stash(sizes.select("traj_no", "tokens", "loss_tokens"), "sizes")
     n = sizes.count() if rows else 0
     shards = max(1, -(-n // shard))
     each = F.array(*[F.struct(F.lit(k).alias("pack"), F.lit(r[0]).alias("pack_name"), F.lit(r[1]).alias("max_len")) for k, r in enumerate(rows)])
