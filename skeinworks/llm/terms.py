@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skeinworks.functions.words import WORD
+from skeinworks.session import stash
 
 #: Identifiers of a bucket; a bitmap of them takes BUCKET / 8 bytes.
 BITS = 12
@@ -138,10 +139,10 @@ def marked_terms(trajectories: DataFrame, vocabulary: DataFrame, rare_below: int
     ``rare``: held by fewer than ``rare_below`` trajectories; ``common``: by more than the share ``common_above`` of
     all; else null. Null tokens of the vocabulary are no terms, repeated ones are one.
     """
-    texts = F.transform("blocks", lambda b: b["text"])
-    found = term_frequencies(term_postings(trajectories, "traj_no", texts, "loaded_at"))
+    found = term_frequencies(term_postings(trajectories, "traj_no", F.col("blocks.text"), "loaded_at"))
     listed = vocabulary.filter("token IS NOT NULL").select(F.col("token").alias("term"), F.lit(0).cast("long").alias("occurrences"), F.lit(0).cast("long").alias("records"))
     every = found.unionByName(listed).groupBy("term").agg(F.sum("occurrences").alias("occurrences"), F.sum("records").alias("records"))
+    every = stash(every, "terms")
     # The row with the null term is one number: all records.
     total = F.max(F.when(F.col("term").isNull(), F.col("records")))
     terms = every.filter("term IS NOT NULL")
