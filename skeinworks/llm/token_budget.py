@@ -77,13 +77,13 @@ def trajectory_counts(trajectories: DataFrame, ranks: str = RANKS) -> DataFrame:
         "traj_no",
         "loaded_at",
         named(slice_name(F.col("env"))).alias("env"),
-        F.transform("blocks", lambda b: named(slice_name(b["type"]))).alias("types"),
-        F.transform("blocks", lambda b: b["text"]).alias("texts"),
+        F.transform("blocks.type", lambda t: named(slice_name(t))).alias("types"),
+        F.col("blocks.text").alias("texts"),
     )
-    counted = with_counts(rows, "texts", "counts", ranks)
-    known = counted.filter("traj_no IS NOT NULL").groupBy("traj_no").agg(F.min_by(F.struct("env", "types", "counts"), "loaded_at").alias("r"), F.first(F.struct("env", "types", "counts")).alias("any"))
+    known = with_counts(rows.filter("traj_no IS NOT NULL"), "texts", "counts", ranks).groupBy("traj_no").agg(F.min_by(F.struct("env", "types", "counts"), "loaded_at").alias("r"), F.first(F.struct("env", "types", "counts")).alias("any"))
     known = known.select("traj_no", F.coalesce("r", "any").alias("r")).select("traj_no", "r.*")
-    return known.unionByName(counted.filter("traj_no IS NULL").select("traj_no", "env", "types", "counts"))
+    unknown = with_counts(rows.filter("traj_no IS NULL"), "texts", "counts", ranks)
+    return known.unionByName(unknown.select("traj_no", "env", "types", "counts"))
 
 
 def document_counts(documents: DataFrame, ranks: str = RANKS) -> DataFrame:
