@@ -25,11 +25,17 @@ from skeinworks.session import stash
 #: What may stand behind a cut (fixed values).
 MARK = r"(?is)(?:\s*(?:\.{2,}|…|[\[(<{]\s*(?:\.{2,}|…|truncated|cut(?: off)?|snip(?:ped)?|more|continued|text truncated|output truncated|rest missing)\W{0,3}[\])>}]|-{2,}\s*(?:truncated|cut|more)\s*-{2,}))+\s*$"
 TOKEN = r"\d+(?:[.,:]\d+)*|[\p{L}\p{M}_][\p{L}\p{M}\p{N}_]*(?:['’][\p{L}\p{M}]+)*|[.!?…。]+|[\n\r]"
-#: How far before the end trigrams are looked up, how often one must occur, and up to which share of endings it shows a cut.
-REACH, SUPPORT, ENDINGS = 3, 12, 0.02
+#: How far before the end words are looked up, how often they must occur (with the two words before them, with one),
+#: up to which share of endings they show a cut, and from which one a whole sentence.
+REACH, SUPPORT, CUT, WHOLE = 3, {3: 10, 2: 30}, 0.02, 0.5
 PREFIX_SUPPORT = 3
 
 
+def body(text: Column) -> Column:
+    """``text`` without marks of a cut and blanks at its end."""
+    return F.regexp_replace(F.regexp_replace(text, MARK, ""), r"[\s\p{Z}]+$", "")
+
+
 def sentences(text: Column) -> Column:
     """The sentences of ``text`` as arrays of words; the last one is empty where the text ends with the end of a sentence."""
     tokens = F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0))
@@ -37,54 +43,64 @@ def sentences(text: Column) -> Column:
     return F.transform(F.split(F.array_join(marked, " "), "\n", -1), lambda s: F.filter(F.split(F.trim(s), " "), lambda w: w != ""))
 
 
-def trigrams(words: Column) -> Column:
-    """Of every word: the hash of the two before it, the word, and how many follow."""
+def grams(words: Column) -> Column:
+    """Of every word, with the two words before it (``grade`` 3) and with one (2): their hash, the word, how many follow."""
     n = F.size(words)
     word = lambda i: F.when(i >= 0, F.get(words, i)).otherwise("^")
-    return F.transform(words, lambda w, i: F.struct(F.xxhash64(word(i - 2), word(i - 1)).alias("context"), w.alias("word"), (n - 1 - i).alias("after")))
+    of = lambda grade, context, w, i: F.struct(F.lit(grade).alias("grade"), context.alias("context"), w.alias("word"), (n - 1 - i).alias("after"))
+    three = F.transform(words, lambda w, i: of(3, F.xxhash64(word(i - 2), word(i - 1)), w, i))
+    two = F.transform(words, lambda w, i: of(2, F.xxhash64(word(i - 1)), w, i))
+    return F.concat(three, two)
 
 
 def truncated(documents: DataFrame, kept: list[str] | None = None) -> DataFrame:
     """The ``doc_id`` (and columns ``kept``) of every cut document with ``kind``: mid-sentence or mid-word."""
     kept = kept or []
-    body = F.regexp_replace("text", MARK, "")
-    read = documents.filter("text IS NOT NULL").select("doc_id", *kept, F.xxhash64("text").alias("copy"), sentences(body).alias("sentences"))
-    grams = read.select(F.explode("sentences").alias("s")).select(F.inline(trigrams(F.col("s"))))
+    read = documents.filter("text IS NOT NULL").select("doc_id", *kept, F.xxhash64("text").alias("copy"), sentences(body(F.col("text"))).alias("sentences"))
+    each = read.select(F.explode("sentences").alias("s")).select(F.inline(grams(F.col("s"))))
     ends = [F.count(F.when(F.col("after") == k, 1)).alias(f"end{k}") for k in range(REACH + 1)]
-    counts = stash(grams.groupBy("context", "word").agg(F.count("*").alias("n"), *ends), "trigrams")
+    counts = stash(each.groupBy("grade", "context", "word").agg(F.count("*").alias("n"), *ends), "grams")
 
-    last = read.withColumn("s", F.element_at("sentences", -1)).filter(F.size("s") > 0).select("doc_id", *kept, "copy", trigrams(F.col("s")).alias("t"))
-    last = last.withColumn("row", F.monotonically_increasing_id())
-    last = stash(last.withColumn("t", F.slice("t", F.greatest(F.size("t") - REACH, F.lit(1)), REACH + 1)), "endings")
+    last = read.withColumn("s", F.element_at("sentences", -1)).filter(F.size("s") > 0).select("doc_id", *kept, "copy", F.filter(grams(F.col("s")), lambda g: g["after"] <= REACH).alias("t"))
+    last = stash(last.withColumn("row", F.monotonically_increasing_id()), "endings")
     copies = last.groupBy("copy").agg(F.count("*").alias("own"))
     asked = last.select("row", "copy", F.inline("t"))
+    key = ["grade", "context"]
 
-    # Trigrams at every distance from the end: how often they occur elsewhere, and how often sentences end as soon there.
+    # At every distance from the end: how often the words occur elsewhere, and how often sentences end as soon there.
     ended = F.coalesce(*[F.when(F.col("after") == k, F.col(f"end{k}")) for k in range(REACH + 1)])
-    looked = asked.join(counts, ["context", "word"]).join(copies, "copy")
-    others, same = F.col("n") - F.col("own"), ended - F.col("own")
-    cut = (others >= SUPPORT) & (same <= others * ENDINGS)
-    by_row = looked.groupBy("row").agg(F.max(cut).alias("mid_sentence"), F.max(F.when(F.col("after") == 0, others)).alias("exact"))
+    looked = asked.join(counts, [*key, "word"]).join(copies, "copy").select("row", "grade", "after", (F.col("n") - F.col("own")).alias("others"), (ended - F.col("own")).alias("same"))
+    at = lambda grade, k, c: F.max(F.when((F.col("grade") == grade) & (F.col("after") == k), F.col(c)))
+    by_row = looked.groupBy("row").agg(*[at(g, k, c).alias(f"{c}{g}{k}") for g in (3, 2) for k in range(REACH + 1) for c in ("others", "same")])
+
+    def share(k: int) -> Column:
+        """The share of endings with two words before; with one, where those two are rare."""
+        of = lambda g: F.when(F.col(f"others{g}{k}") >= SUPPORT[g], F.col(f"same{g}{k}") / F.col(f"others{g}{k}"))
+        return F.coalesce(of(3), of(2))
+
+    shares = F.array_compact(F.array(*[share(k) for k in range(REACH + 1)]))
+    by_row = by_row.select("row", ((F.array_min(shares) <= CUT) & (F.array_max(shares) < WHOLE)).alias("mid_sentence"), *[F.coalesce(f"others{g}0", F.lit(0)).alias(f"exact{g}") for g in (3, 2)])
 
-    # The last word as the beginning of longer words after the same two words, and anywhere.
+    # The last word as the beginning of longer words after the same words, and anywhere.
     ending = asked.filter("after = 0 AND word <> '#'")
-    wanted = ending.select("context", F.col("word").alias("prefix")).distinct()
-    there = counts.join(wanted.select("context").distinct(), "context", "left_semi")
-    prefixes = lambda w: F.transform(F.sequence(F.lit(1), F.length(w) - 1), lambda k: F.substring(w, 1, k))
-    longer = there.filter("length(word) > 1").select("context", F.explode(prefixes(F.col("word"))).alias("prefix"), "n")
-    longer = longer.join(wanted, ["context", "prefix"]).groupBy("context", "prefix").agg(F.sum("n").alias("longer"))
-    words = counts.groupBy("word").agg(F.sum("n").alias("n"))
+    wanted = ending.select(*key, F.col("word").alias("prefix")).distinct()
+    there = counts.join(wanted.select(*key).distinct(), key, "left_semi")
+    prefixes = lambda w: F.transform(F.sequence(F.lit(1), F.length(w) - 1), lambda k: F.substring(w, F.lit(1), k))
+    longer = there.filter("length(word) > 1").select(*key, F.explode(prefixes(F.col("word"))).alias("prefix"), "n")
+    longer = longer.join(wanted, [*key, "prefix"]).groupBy(*key, "prefix").agg(F.sum("n").alias("longer"))
+    words = counts.filter("grade = 2").groupBy("word").agg(F.sum("n").alias("n"))
     starts = words.filter("length(word) > 1").select(F.explode(prefixes(F.col("word"))).alias("prefix"), "n")
     anywhere = ending.select(F.col("word").alias("prefix")).distinct().join(starts, "prefix").groupBy("prefix").agg(F.sum("n").alias("starts"))
     known = anywhere.join(words.withColumnRenamed("word", "prefix").withColumnRenamed("n", "known"), "prefix", "left")
-    tail = ending.select("row", "copy", "context", F.col("word").alias("prefix")).join(longer, ["context", "prefix"], "left").join(known, "prefix", "left").join(copies, "copy")
-    tail = tail.select("row", F.coalesce("longer", F.lit(0)).alias("longer"), F.coalesce("starts", F.lit(0)).alias("starts"), (F.coalesce("known", F.lit(0)) - F.col("own")).alias("known"))
-
-    judged = last.select("row", "doc_id", *kept).join(by_row, "row", "left").join(tail, "row", "left")
-    exact = F.coalesce("exact", F.lit(0))
-    torn = (F.col("longer") >= PREFIX_SUPPORT) & (exact <= F.col("longer") * ENDINGS)
-    unknown = (exact <= 0) & (F.col("known") <= 0) & (F.col("starts") >= PREFIX_SUPPORT)
-    kind = F.when(torn | unknown, "mid-word").when(F.col("mid_sentence"), "mid-sentence")
+    tail = ending.select("row", "copy", *key, F.col("word").alias("prefix")).join(longer, [*key, "prefix"], "left").join(known, "prefix", "left").join(copies, "copy")
+    grade = lambda g: F.coalesce(F.max(F.when(F.col("grade") == g, F.col("longer"))), F.lit(0)).alias(f"longer{g}")
+    tail = tail.groupBy("row").agg(grade(3), grade(2), F.coalesce(F.max("starts"), F.lit(0)).alias("starts"), (F.coalesce(F.max("known"), F.lit(0)) - F.max("own")).alias("known"))
+
+    judged = last.select("row", "doc_id", *kept).join(by_row, "row", "left").join(tail, "row", "left").fillna(0, ["exact3", "exact2"])
+    torn = lambda g: (F.col(f"longer{g}") >= PREFIX_SUPPORT) & (F.col(f"exact{g}") <= F.col(f"longer{g}") * CUT)
+    rare = (F.col("longer3") < PREFIX_SUPPORT) & (F.col("exact3") <= 0)
+    unknown = (F.col("exact2") <= 0) & (F.col("known") <= 0) & (F.col("starts") >= PREFIX_SUPPORT)
+    kind = F.when(torn(3) | (rare & torn(2)) | unknown, "mid-word").when(F.col("mid_sentence"), "mid-sentence")
     return judged.withColumn("kind", kind).filter("kind IS NOT NULL").select("doc_id", *kept, "kind")
 
 
