@@ -154,7 +154,7 @@ def first_index(spark, d):
 @query
 def last_obs_step(spark, d):
     last = F.array_max(masks.sorted_distinct("step", lambda t: (t["btype"] == 4) & (t["step"] >= 1)))
-    return whole(every(spark, d).filter("n > 0").select("traj_no", last.alias("step")))
+    return whole(every(spark, d).filter("n > 0").select("traj_no", F.coalesce(last, F.lit(-1)).alias("step")))
 
 
 # Masks.

@@ -70,7 +70,7 @@ ORACLES: dict[str, str] = {
     "action_blocks": PRE + """ SELECT traj_no, count(DISTINCT bidx) FILTER (bidx <> 0) AS interior,
       array_to_string(list_sort(list_distinct(coalesce(list(bidx) FILTER (btype = 3), []))), ',') AS actions FROM tok GROUP BY traj_no""",
     "first_index": PRE + " SELECT traj_no, step, btype, min(pos) AS first_pos FROM tok WHERE step >= 1 GROUP BY traj_no, step, btype",
-    "last_obs_step": PRE + " SELECT traj_no, max(step) FILTER (btype = 4 AND step >= 1) AS step FROM tok GROUP BY traj_no",
+    "last_obs_step": PRE + " SELECT traj_no, coalesce(max(step) FILTER (btype = 4 AND step >= 1), -1) AS step FROM tok GROUP BY traj_no",
     "splits_loaded": f"""WITH one AS (SELECT traj_no, split FROM trajectories WHERE traj_no IS NOT NULL QUALIFY row_number() OVER (PARTITION BY traj_no ORDER BY loaded_at NULLS FIRST) = 1)
       SELECT {split_of('split')} AS name, count(DISTINCT split) AS spellings, count(*) AS rows FROM one GROUP BY 1""",
     "manifest_splits": PRE + """, t AS (SELECT traj_no, sum(len(toks)) AS tokens FROM typed GROUP BY traj_no)
