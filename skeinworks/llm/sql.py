@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from skeinworks.functions.words import WORD_SQL
+from skeinworks.functions.words import SPLIT_NAMES, WORD_SQL
+from skeinworks.llm.splits import WRITINGS
 
 #: Terms of trajectories, each trajectory once, and the entries of the vocabulary.
 TERMS = f"""
@@ -31,3 +32,35 @@ ORACLES = {
     "p4_found": TERMS + "SELECT term, mark FROM marked WHERE mark IS NOT NULL",
     "p4_terms": TERMS + "SELECT term, occurrences, records, mark FROM marked",
 }
+
+#: Splits and names as they are spelt.
+SPLIT = "CASE " + " ".join(f"WHEN regexp_replace(lower(split), '[^a-z]', '', 'g') IN ({', '.join(map(repr, spelt))}) THEN '{to}'" for to, spelt in SPLIT_NAMES.items()) + " END"
+
+
+def part_of(group: int) -> str:
+    """A part of the trajectory id by the first writing that fits."""
+    whens = []
+    for pattern, *groups in WRITINGS:
+        value = f"regexp_extract(trim(trajectory_id), '{pattern}', {groups[group]})" if groups[group] else "NULL"
+        whens.append(f"WHEN regexp_matches(trim(trajectory_id), '{pattern}') THEN {value}")
+    return f"CASE {' '.join(whens)} END"
+
+
+def bare(value: str) -> str:
+    return f"nullif(regexp_replace(lower({value}), '[^\\p{{L}}\\p{{N}}]', '', 'g'), '')"
+
+
+#: Trajectories of episodes that stand in several splits; an unknown environment is that of the only episode with the same goal.
+ORACLES["p1_found"] = f"""
+WITH parts AS (
+  SELECT DISTINCT traj_no, {SPLIT} AS given, coalesce({bare(part_of(0))}, {bare('env')}) AS env, {bare(part_of(1))} AS task, {part_of(2)} AS variation, coalesce({bare('goal')}, '') AS goal
+  FROM trajectories WHERE traj_no IS NOT NULL
+), known AS (
+  SELECT task, variation, goal, min(env) AS env FROM parts WHERE task IS NOT NULL AND env IS NOT NULL GROUP BY ALL HAVING count(DISTINCT env) = 1
+), keyed AS (
+  SELECT p.traj_no, given, CASE WHEN p.task IS NULL THEN 'one|' || p.traj_no WHEN coalesce(p.env, k.env) IS NULL THEN concat_ws('|', 'goal', p.task, p.variation, p.goal)
+    ELSE concat_ws('|', 'episode', coalesce(p.env, k.env), p.task, p.variation) END AS key
+  FROM parts p LEFT JOIN known k ON p.env IS NULL AND p.task = k.task AND p.variation = k.variation AND p.goal = k.goal
+)
+SELECT DISTINCT traj_no FROM keyed WHERE given IS NOT NULL AND key IN (SELECT key FROM keyed WHERE given IS NOT NULL GROUP BY key HAVING count(DISTINCT given) > 1)
+"""
