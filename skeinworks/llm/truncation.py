@@ -23,7 +23,9 @@ from pyspark.sql import functions as F
 from skeinworks.session import stash
 
 #: What may stand behind a cut (fixed values).
-MARK = r"(?is)(?:\s*(?:\.{2,}|…|[\[(<{]\s*(?:\.{2,}|…|truncated|cut(?: off)?|snip(?:ped)?|more|continued|text truncated|output truncated|rest missing)\W{0,3}[\])>}]|-{2,}\s*(?:truncated|cut|more)\s*-{2,}))+\s*$"
+MARK = r"(?is)(?<![\s.…])(?:\s*+(?:\.{2,}+|…|[\[(<{]\s*+(?:\.{2,}+|…|truncated|cut(?: off)?|snip(?:ped)?|more|continued|text truncated|output truncated|rest missing)\W{0,3}[\])>}]|-{2,}+\s*+(?:truncated|cut|more)\s*+-{2,}+))++\s*+$"
+#: Blanks at the end; like the marks they are looked for only where a run of them begins, however long it is.
+BLANKS = r"(?<![\s\p{Z}])[\s\p{Z}]++$"
 TOKEN = r"\d+(?:[.,:]\d+)*|[\p{L}\p{M}_][\p{L}\p{M}\p{N}_]*(?:['’][\p{L}\p{M}]+)*|[.!?…。]+|[\n\r]"
 #: How far before the end words are looked up, how often they must occur (with the two words before them, with one),
 #: up to which share of endings they show a cut, and from which one a whole sentence.
@@ -33,7 +35,7 @@ PREFIX_SUPPORT = 3
 
 def body(text: Column) -> Column:
     """``text`` without marks of a cut and blanks at its end."""
-    return F.regexp_replace(F.regexp_replace(text, MARK, ""), r"[\s\p{Z}]+$", "")
+    return F.regexp_replace(F.regexp_replace(F.regexp_replace(text, BLANKS, ""), MARK, ""), BLANKS, "")
 
 
 def sentences(text: Column) -> Column:
@@ -56,12 +58,14 @@ def grams(words: Column) -> Column:
 def truncated(documents: DataFrame, kept: list[str] | None = None) -> DataFrame:
     """The ``doc_id`` (and columns ``kept``) of every cut document with ``kind``: mid-sentence or mid-word."""
     kept = kept or []
-    read = documents.filter("text IS NOT NULL").select("doc_id", *kept, F.xxhash64("text").alias("copy"), sentences(body(F.col("text"))).alias("sentences"))
-    each = read.select(F.explode("sentences").alias("s")).select(F.inline(grams(F.col("s"))))
+    read = documents.filter("text IS NOT NULL").select("doc_id", *kept, F.xxhash64("text").alias("copy"), body(F.col("text")).alias("body"))
+    each = read.select(F.explode(sentences(F.col("body"))).alias("s")).select(F.inline(grams(F.col("s"))))
     ends = [F.count(F.when(F.col("after") == k, 1)).alias(f"end{k}") for k in range(REACH + 1)]
     counts = stash(each.groupBy("grade", "context", "word").agg(F.count("*").alias("n"), *ends), "grams")
 
-    last = read.withColumn("s", F.element_at("sentences", -1)).filter(F.size("s") > 0).select("doc_id", *kept, "copy", F.filter(grams(F.col("s")), lambda g: g["after"] <= REACH).alias("t"))
+    # A line break ends a sentence: the last one is in the last line.
+    line = F.regexp_extract("body", r"(?<![^\n\r])[^\n\r]*+$", 0)
+    last = read.withColumn("s", F.element_at(sentences(line), -1)).filter(F.size("s") > 0).select("doc_id", *kept, "copy", F.filter(grams(F.col("s")), lambda g: g["after"] <= REACH).alias("t"))
     last = stash(last.withColumn("row", F.monotonically_increasing_id()), "endings")
     copies = last.groupBy("copy").agg(F.count("*").alias("own"))
     asked = last.select("row", "copy", F.inline("t"))
