@@ -7,7 +7,7 @@ but after which sentences almost never end so soon, shows a cut in the middle
 of a sentence; a last word that hardly ever follows the two before it, while
 longer words that begin with it do, shows one in the middle of a word.
 
-Words are lower case, numbers are one word ``#``; a sentence ends at a full
+Words are lower case, numbers are one word ``#``, tags are none; a sentence ends at a full
 stop, question or exclamation mark or line break. Marks of a cut behind the
 text (dots, [truncated] and the like) are taken off first. A text's own ending
 (and that of its copies) does not count as evidence for itself. Null, empty and
@@ -26,10 +26,12 @@ from skeinworks.session import stash
 MARK = r"(?is)(?<![\s.…])(?:\s*+(?:\.{2,}+|…|[\[(<{]\s*+(?:\.{2,}+|…|truncated|cut(?: off)?|snip(?:ped)?|more|continued|text truncated|output truncated|rest missing)\W{0,3}[\])>}]|-{2,}+\s*+(?:truncated|cut|more)\s*+-{2,}+))++\s*+$"
 #: Blanks at the end; like the marks they are looked for only where a run of them begins, however long it is.
 BLANKS = r"(?<![\s\p{Z}])[\s\p{Z}]++$"
-TOKEN = r"\d+(?:[.,:]\d+)*|[\p{L}\p{M}_][\p{L}\p{M}\p{N}_]*(?:['’][\p{L}\p{M}]+)*|[.!?…。]+|[\n\r]"
+TOKEN = r"</?[a-z]\w*>|\d+(?:[.,:]\d+)*|[\p{L}\p{M}_][\p{L}\p{M}\p{N}_]*(?:['’][\p{L}\p{M}]+)*|[.!?…。]+|[\n\r]"
 #: How far before the end words are looked up, how often they must occur (with the two words before them, with one),
 #: up to which share of endings they show a cut, and from which one a whole sentence.
 REACH, SUPPORT, CUT, WHOLE = 3, {3: 10, 2: 30}, 0.02, 0.5
+#: Further off than one word, where a sentence may go on in more ways, almost none may end there.
+FAR = 0.004
 PREFIX_SUPPORT = 3
 
 
@@ -41,7 +43,7 @@ def body(text: Column) -> Column:
 def sentences(text: Column) -> Column:
     """The sentences of ``text`` as arrays of words; the last one is empty where the text ends with the end of a sentence."""
     tokens = F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0))
-    marked = F.transform(tokens, lambda t: F.when(t.rlike(r"^\d"), "#").when(t.rlike(r"^[.!?…。\n\r]"), "\n").otherwise(t))
+    marked = F.transform(tokens, lambda t: F.when(t.rlike(r"^<"), "").when(t.rlike(r"^\d"), "#").when(t.rlike(r"^[.!?…。\n\r]"), "\n").otherwise(t))
     return F.transform(F.split(F.array_join(marked, " "), "\n", -1), lambda s: F.filter(F.split(F.trim(s), " "), lambda w: w != ""))
 
 
@@ -82,8 +84,9 @@ def truncated(documents: DataFrame, kept: list[str] | None = None) -> DataFrame:
         of = lambda g: F.when(F.col(f"others{g}{k}") >= SUPPORT[g], F.col(f"same{g}{k}") / F.col(f"others{g}{k}"))
         return F.coalesce(of(3), of(2))
 
-    shares = F.array_compact(F.array(*[share(k) for k in range(REACH + 1)]))
-    by_row = by_row.select("row", ((F.array_min(shares) <= CUT) & (F.array_max(shares) < WHOLE)).alias("mid_sentence"), *[F.coalesce(f"others{g}0", F.lit(0)).alias(f"exact{g}") for g in (3, 2)])
+    shares = [share(k) for k in range(REACH + 1)]
+    goes_on = F.coalesce(F.least(shares[0], shares[1]) <= CUT, F.lit(False)) | F.coalesce(F.least(*shares[2:]) <= FAR, F.lit(False))
+    by_row = by_row.select("row", (goes_on & (F.greatest(*shares) < WHOLE)).alias("mid_sentence"), *[F.coalesce(f"others{g}0", F.lit(0)).alias(f"exact{g}") for g in (3, 2)])
 
     # The last word as the beginning of longer words after the same words, and anywhere.
     ending = asked.filter("after = 0 AND word <> '#'")
