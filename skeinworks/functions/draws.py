@@ -36,3 +36,12 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     A column that a projection computes may be moved into the functions that use it; a lambda variable is not.
     """
     return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def computed(value: Column, name: str) -> Column:
+    """``value`` as column ``name`` that is computed once, where it stands.
+
+    Filters and later projections on a plain column are moved into its expression, which is then computed for each of
+    them; they are not moved below a generator.
+    """
+    return F.explode(F.array(value)).alias(name)

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from skeinworks.functions.draws import computed
 from skeinworks.functions.words import word_tokens
 from skeinworks.schema import BLOCK_CODES, THINK
 from skeinworks.sources.trajectories import step_key
@@ -46,7 +47,7 @@ def flattened(blocks: Column) -> Column:
 
 def all_examples(trajectories: DataFrame, drop_leaky_think: bool = True) -> DataFrame:
     """``traj_no, split, tok, n`` of every trajectory, those without tokens included (``n`` = 0)."""
-    rows = trajectories.select("traj_no", "split", F.coalesce(flattened(kept_blocks(drop_leaky_think)), F.array()).alias("tok"))
+    rows = trajectories.select("traj_no", "split", computed(F.coalesce(flattened(kept_blocks(drop_leaky_think)), F.array()), "tok"))
     return rows.withColumn("n", F.size("tok"))
 
 

@@ -18,7 +18,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skeinworks.functions.draws import between, let, pick, subset, uniform
+from skeinworks.functions.draws import between, computed, let, pick, subset, uniform
 from skeinworks.schema import ACTION, BIDIRECTIONAL_OBJECTIVES, CAUSAL_OBJECTIVES, GOAL, OBJECTIVES, OBS
 
 Params = Column
@@ -153,16 +153,28 @@ def _prepared_v1(objective: str, ratio: Column, u: Callable[..., Column]) -> tup
     return [], lambda t, p: F.lit(False), lambda t, p: F.lit(False)
 
 
-def with_mask_v1(examples: DataFrame, objective: str, ratio: Column, seed: int = 0, salt: Column | None = None, fallback: str = "span") -> DataFrame:
-    """The nine objectives of the first generation; where one has no target, ``fallback``: a span, or random tokens as in the second."""
+def masks_v1(objective: str, ratio: Column, seed: int = 0, salt: Column | None = None, fallback: str = "span") -> Column:
+    """``m`` (both masks) and ``fell_back`` of one of the nine objectives of the first generation.
+
+    Where it has no target, ``fallback``: a span, or random tokens as in the second generation.
+    """
     stages, context, target = _prepared_v1(objective, ratio, lambda purpose, *more: keyed(seed, f"{objective}.{purpose}", salt, *more))
     own = bound(stages, lambda p: F.struct(mask(lambda t: context(t, p) & ~target(t, p)).alias("ctx"), mask(lambda t: target(t, p)).alias("tgt")))
     if fallback == "span":
         other = span_masks(ratio, keyed(seed, f"{objective}.span", salt))
     else:
         other = block_masks(ratio, lambda p: keyed(seed, f"{objective}.block", salt, p))
-    judged = let(own, lambda m: let(F.exists(m["tgt"], lambda b: b), lambda has: F.struct(F.when(has, m).otherwise(other).alias("m"), (~has).alias("fell_back"))))
-    return examples.select("*", judged.alias("_m")).select(*examples.columns, "_m.m.tgt", "_m.m.ctx", "_m.fell_back")
+    return let(own, lambda m: let(F.exists(m["tgt"], lambda b: b), lambda has: F.struct(F.when(has, m).otherwise(other).alias("m"), (~has).alias("fell_back"))))
+
+
+def with_masks(examples: DataFrame, masks: Column) -> DataFrame:
+    return examples.select("*", computed(masks, "_m")).select(*examples.columns, "_m.tgt", "_m.ctx")
+
+
+def with_mask_v1(examples: DataFrame, objective: str, ratio: Column, seed: int = 0, salt: Column | None = None, fallback: str = "span") -> DataFrame:
+    """``examples`` with the masks of ``masks_v1``."""
+    rows = examples.select("*", computed(masks_v1(objective, ratio, seed, salt, fallback), "_m"))
+    return rows.select(*examples.columns, "_m.m.tgt", "_m.m.ctx", "_m.fell_back")
 
 
 # The second generation.
@@ -211,35 +223,39 @@ def _second(objective: str, rate: Column, u: Callable[..., Column]) -> Column:
     raise ValueError(f"no objective {objective}")
 
 
-def with_mask_v2(examples: DataFrame, objective: str, rate: Column, seed: int = 0, salt: Column | None = None) -> DataFrame:
-    """random_block, suffix, the four bidirectional objectives, next_obs, and the causal five with random tokens as fallback.
+def masks_v2(objective: str, rate: Column, seed: int = 0, salt: Column | None = None) -> Column:
+    """The struct of both masks of an objective of the second generation.
 
-    Without eligible tokens the target is empty and everything is context. ``next_obs`` has null masks where it does not apply.
+    random_block, suffix, the four bidirectional objectives, next_obs, and the causal five with random tokens as fallback.
+    Without eligible tokens the target is empty and everything is context. ``next_obs`` is null where it does not apply.
     """
     if objective in CAUSAL_OBJECTIVES:
-        return with_mask_v1(examples, objective, rate, seed, salt, "block").drop("fell_back")
-    masks = _second(objective, rate, lambda purpose, *more: keyed(seed, f"{objective}.{purpose}", salt, *more))
-    return examples.select("*", masks.alias("_m")).select(*examples.columns, "_m.tgt", "_m.ctx")
+        return masks_v1(objective, rate, seed, salt, "block")["m"]
+    return _second(objective, rate, lambda purpose, *more: keyed(seed, f"{objective}.{purpose}", salt, *more))
+
+
+def with_mask_v2(examples: DataFrame, objective: str, rate: Column, seed: int = 0, salt: Column | None = None) -> DataFrame:
+    """``examples`` with the masks of ``masks_v2``."""
+    return with_masks(examples, masks_v2(objective, rate, seed, salt))
 
 
 #: The objectives of each set of the second generation (fixed values).
 OBJECTIVE_SETS = {"random_block": ["random_block"], "d_ar": ["suffix"], "d_flex": BIDIRECTIONAL_OBJECTIVES, "causal": CAUSAL_OBJECTIVES}
 
 
+def by_objective(names: list[str], masks: Callable[[str], Column]) -> Column:
+    """The masks of each row's own ``objective``; of no other are any computed."""
+    own = F.when(F.col("objective") == names[0], masks(names[0]))
+    for name in names[1:]:
+        own = own.when(F.col("objective") == name, masks(name))
+    return own
+
+
 def with_drawn_mask_v2(examples: DataFrame, objective_set: str, rate: Column, seed: int = 0, salt: Column | None = None) -> DataFrame:
     """Each example with a mask of one objective of the set; several have the same chance. Adds ``objective``."""
     names = OBJECTIVE_SETS[objective_set]
     rows = examples.withColumn("objective", pick(F.array(*map(F.lit, names)), keyed(seed, "objective", salt)))
-    return by_objective(rows, names, lambda part, name: with_mask_v2(part, name, rate, seed, salt))
-
-
-def by_objective(rows: DataFrame, names: list[str], masked: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
-    """The masks of each row's own ``objective``: one branch per objective, each over its own rows only."""
-    parts = [masked(rows.filter(F.col("objective") == name), name) for name in names]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    return with_masks(rows, by_objective(names, lambda name: masks_v2(name, rate, seed, salt)))
 
 
 def mask_summary(rows: DataFrame, *keep: str) -> DataFrame:
@@ -253,4 +269,4 @@ def mask_summary(rows: DataFrame, *keep: str) -> DataFrame:
     return rows.select("traj_no", *keep, F.col("n").cast("long").alias("n"), *sums)
 
 
-__all__ = ["OBJECTIVES", "OBJECTIVE_SETS", "by_objective", "mask_summary", "with_drawn_mask_v2", "with_mask_v1", "with_mask_v2"]
+__all__ = ["OBJECTIVES", "OBJECTIVE_SETS", "by_objective", "mask_summary", "masks_v1", "masks_v2", "with_drawn_mask_v2", "with_mask_v1", "with_mask_v2", "with_masks"]

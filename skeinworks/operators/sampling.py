@@ -49,6 +49,5 @@ def without_replacement(spark, rows: int, steps: int, k: int, seed: int = 0) ->
 
 
 def sampled(plan: DataFrame, examples: DataFrame) -> DataFrame:
-    """The examples of a plan; ``examples`` are numbered in order of ``traj_no``."""
-    index = dense_index(examples, "traj_no")
-    return plan.join(index, "row_no").join(examples, "traj_no")
+    """The plan with the ``traj_no`` of its rows; ``examples`` are numbered in order of ``traj_no``."""
+    return plan.join(dense_index(examples, "traj_no"), "row_no")

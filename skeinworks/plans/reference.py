@@ -224,10 +224,19 @@ def train_examples(spark, d) -> DataFrame:
 
 
 def train_count(spark, d) -> tuple[DataFrame, int]:
-    rows = train_examples(spark, d)
+    """The training examples, written once, and their number: a plan of steps refers to them by number."""
+    rows = stash(train_examples(spark, d), "examples")
     return rows, rows.count()
 
 
+def drawn_examples(plan: DataFrame, rows: DataFrame, vocab: DataFrame | None = None) -> DataFrame:
+    """The examples of a plan; only those that it draws are encoded, each once."""
+    picked = stash(sampling.sampled(plan, rows), "plan")
+    if vocab is not None:
+        rows = vocabulary.with_ids(rows.join(picked.select("traj_no").distinct(), "traj_no", "left_semi"), vocab)
+    return picked.join(rows, "traj_no")
+
+
 @query
 def sample_with_replacement(spark, d):
     rows, n = train_count(spark, d)
@@ -302,27 +311,24 @@ def positions(rows: DataFrame, *keep: str) -> DataFrame:
 
 def corrupted_batches_v1(spark, d) -> DataFrame:
     """One objective per step, rows with replacement, a noise level per row."""
-    rows = coded(spark, d)
-    rows, n = rows, rows.count()
+    rows, n = train_count(spark, d)
     plan = sampling.with_replacement(spark, n, STEPS, BATCH, SEED)
     p = schedules.progress(F.col("train_step"), STEPS)
-    drawn = sampling.sampled(plan, rows).withColumn("objective", schedules.drawn_objective(p, uniform(SEED, "objective", F.col("train_step")))).withColumn("ratio", schedules.target_ratio(p))
-    drawn = stash(drawn, "batch")
+    drawn = drawn_examples(plan, rows, table(spark, d, "vocab"))
+    drawn = drawn.withColumn("objective", schedules.drawn_objective(p, uniform(SEED, "objective", F.col("train_step"))))
     salt = F.concat_ws(".", "train_step", "slot")
-    masked = masks.by_objective(drawn, OBJECTIVES, lambda part, name: masks.with_mask_v1(part, name, F.col("ratio"), SEED, salt))
+    masked = masks.with_masks(drawn, masks.by_objective(OBJECTIVES, lambda name: masks.masks_v1(name, schedules.target_ratio(p), SEED, salt)["m"]))
     t = schedules.noise_level(uniform(SEED, "t", F.col("train_step"), F.col("slot")))
     return batches.corrupted_v1(masked.withColumn("t", t), F.col("t"), SEED, salt=salt)
 
 
 def corrupted_batches_v2(spark, d, objective_set: str = "d_flex") -> DataFrame:
     """Different rows per step, an objective per row, a rate that changes with progress."""
-    rows = coded(spark, d)
-    n = rows.count()
+    rows, n = train_count(spark, d)
     plan = sampling.without_replacement(spark, n, STEPS, BATCH, SEED)
     rate = schedules.mask_rate(schedules.progress(F.col("train_step"), STEPS), 0.1, 0.6)
-    drawn = stash(sampling.sampled(plan, rows).withColumn("rate", rate), "batch")
-    masked = masks.with_drawn_mask_v2(drawn, objective_set, F.col("rate"), SEED, F.col("train_step"))
-    return batches.corrupted_v2(masked)
+    drawn = drawn_examples(plan, rows, table(spark, d, "vocab")).withColumn("rate", rate)
+    return batches.corrupted_v2(masks.with_drawn_mask_v2(drawn, objective_set, F.col("rate"), SEED, F.col("train_step")))
 
 
 @query
@@ -358,9 +364,9 @@ def pad_dynamic(spark, d):
 @query
 def nextobs_batch(spark, d):
     """Up to ``BATCH`` validation examples that have a last observation, from three times as many drawn."""
-    rows = vocabulary.with_ids(fitting(spark, d).filter("split = 'validation'"), table(spark, d, "vocab"))
+    rows = stash(fitting(spark, d).filter("split = 'validation'"), "examples")
     plan = sampling.without_replacement(spark, rows.count(), 1, 3 * BATCH, SEED)
-    masked = masks.with_mask_v2(sampling.sampled(plan, rows), "next_obs", F.lit(RATE), SEED).filter("tgt IS NOT NULL")
+    masked = masks.with_mask_v2(drawn_examples(plan, rows, table(spark, d, "vocab")), "next_obs", F.lit(RATE), SEED).filter("tgt IS NOT NULL")
     order = sampling.Window.partitionBy("train_step").orderBy("slot")
     kept = masked.withColumn("place", F.row_number().over(order) - 1).filter(F.col("place") < BATCH)
     return whole(positions(batches.padded_to_longest(batches.corrupted_v2(kept), MAX_LEN), "place", "traj_no"))
@@ -379,7 +385,7 @@ def token_losses(spark, d) -> DataFrame:
     """Token rows of ``STEPS`` batches under the suffix mask; ``nll`` is a keyed draw."""
     rows, n = train_count(spark, d)
     plan = sampling.with_replacement(spark, n, STEPS, BATCH, SEED)
-    masked = masks.with_mask_v2(sampling.sampled(plan, rows), "suffix", F.lit(RATE), SEED)
+    masked = masks.with_mask_v2(drawn_examples(plan, rows), "suffix", F.lit(RATE), SEED)
     objective = pick(F.array(*map(F.lit, BIDIRECTIONAL_OBJECTIVES)), uniform(SEED, "slot.objective", F.col("train_step"), F.col("slot")))
     t = schedules.noise_level(uniform(SEED, "t", F.col("train_step"), F.col("slot")))
     token = F.zip_with("tok", "tgt", lambda x, b: F.struct(x["pos"].alias("pos"), x["btype"].alias("btype"), b.alias("scored")))
