@@ -342,3 +342,95 @@ ORACLES |= {
     "smooth_k25": smooth(25, 400),
     "smooth_short": smooth(25, 20),
 }
+
+# Batches: each drawn example under its own objective, with ids, over aligned positions.
+
+
+def branches(objective_set: list[str], parts_of, ratio: str, keys: tuple) -> str:
+    """A CTE ``batch`` with the masks of every row of ``drawn`` under its ``objective``; ``parts_of`` gives parameters, context, target, fallback."""
+    parts = []
+    for name in objective_set:
+        *p, fallback = parts_of(name, ratio, keys)
+        sql = masked(*p, fallback, name, ratio=ratio, source="WITH whole AS (SELECT 1)", keys=keys, empty_ok=fallback == "none").replace("WITH whole AS (SELECT 1), ", "", 1)
+        parts.append(f"(WITH m AS (SELECT * FROM drawn WHERE objective = '{name}'), {sql} SELECT * EXCLUDE (t0, c0, f0, has) FROM masked)")
+    return ", batch AS (" + " UNION ALL BY NAME ".join(parts) + ")"
+
+
+DRAWN = """, drawn AS (
+  SELECT {plan}.train_step, {plan}.slot, m.*, coalesce(vocab.id, 2) AS id, {more}
+  FROM {plan} JOIN rows USING (row_no) JOIN m ON m.traj_no = rows.traj_no LEFT JOIN vocab USING (token) WHERE {plan}.slot < {most}
+)"""
+NAMED = "[" + ", ".join(repr(x) for x in BIDIRECTIONAL_OBJECTIVES) + "]"
+STEP_RATE = f"(0.1::double + 0.5::double * (distinct_rows.train_step / {STEPS - 1}.0::double))"
+BATCH_V2 = (
+    PLANNED
+    + DRAWN.format(plan="distinct_rows", most=BATCH, more=f"{STEP_RATE} AS rate, {pick(NAMED, u('objective', 'm.traj_no', 'distinct_rows.train_step'))} AS objective")
+    + branches(BIDIRECTIONAL_OBJECTIVES, v2, "rate", ("train_step",))
+)
+ORACLES["pad_dynamic"] = (
+    BATCH_V2
+    + f""", wide AS (SELECT train_step, max(n) AS width FROM batch GROUP BY train_step)
+      {laid_out('tgt', 'train_step, slot, traj_no, objective', width='any_value(width)')} FROM batch JOIN wide USING (train_step) GROUP BY train_step, slot, traj_no, objective"""
+)
+ORACLES["quality_checks"] = (
+    BATCH_V2
+    + """, laid AS (SELECT *, CASE WHEN tgt OR (NOT ctx AND NOT tgt) THEN 1 ELSE id END AS inp FROM batch), tests AS (
+      SELECT true AS mask_is_not_pad, bool_and(NOT (tgt AND btype = 1)) AS goal_never_scored, true AS no_pad_masked, true AS no_pad_scored,
+        bool_and(NOT tgt OR inp = 1) AS scored_is_masked, bool_and(tgt OR inp = id OR inp = 1) AS rest_is_kept_or_masked,
+        (SELECT bool_and(a = b) FROM (SELECT count(*) AS a, count(DISTINCT traj_no) AS b FROM (SELECT DISTINCT train_step, slot, traj_no FROM batch) GROUP BY train_step)) AS sampled_once
+      FROM laid
+    ) SELECT name, passed FROM (UNPIVOT tests ON COLUMNS(*) INTO NAME name VALUE passed)"""
+)
+STEP_RATIO = f"(0.1::double + 0.5::double * least(greatest(replaced.train_step / {STEPS - 1}.0::double, 0.0::double), 1.0::double))"
+STEP_OBJECTIVE = drawn_objective(u("objective", "replaced.train_step")).replace("(p ", f"((replaced.train_step / {STEPS - 1}.0::double) ").replace(" p ", f" (replaced.train_step / {STEPS - 1}.0::double) ")
+ORACLES["batch_v1"] = (
+    PLANNED
+    + DRAWN.format(
+        plan="replaced",
+        most=BATCH,
+        more=f"{STEP_RATIO} AS ratio_at, replaced.train_step || '.' || replaced.slot AS salt, {STEP_OBJECTIVE} AS objective, {NOISE.format(u('t', 'replaced.train_step', 'replaced.slot'))} AS noise",
+    )
+    + branches(OBJECTIVES, lambda name, ratio, keys: (*v1(name, ratio, keys), "span"), "ratio_at", ("salt",))
+    + f""", draws_of AS (SELECT *, {u('corrupt', 'traj_no', 'salt', 'pos')} AS d FROM batch), marked AS (
+      SELECT *, tgt AND (d < noise OR (min(CASE WHEN tgt THEN d END) OVER w >= noise AND pos = min_by(pos, CASE WHEN tgt THEN d END) OVER w)) AS sc FROM draws_of WINDOW w AS (PARTITION BY traj_no, salt)
+    ) {laid_out('sc', 'train_step, slot, traj_no, objective', ', round(noise, 6) AS t', f'{MAX_LEN}::bigint')} FROM marked GROUP BY train_step, slot, traj_no, objective, noise"""
+)
+VALIDATION = PRE + f""", rows AS (
+  SELECT traj_no, n, row_number() OVER (ORDER BY traj_no) - 1 AS row_no, count(*) OVER () AS c FROM ex WHERE split = 'validation' AND n BETWEEN 1 AND {MAX_LEN}
+), ordered AS (
+  SELECT row_no, {u('order', '0', 'row_no')} AS place FROM rows WHERE c <= {12 * BATCH}
+), sampled AS (
+  SELECT floor({u('sample', '0', 'k')} * (SELECT count(*) FROM rows))::bigint AS row_no, min(k)::double AS place FROM generate_series(0, {24 * BATCH + 63}) b(k) WHERE (SELECT count(*) FROM rows) > {12 * BATCH} GROUP BY 1
+), tried AS (
+  SELECT row_no, row_number() OVER (ORDER BY place, row_no) - 1 AS slot FROM (SELECT * FROM ordered UNION ALL SELECT * FROM sampled)
+)"""
+*_p, _ = v2("next_obs")
+ORACLES["nextobs_batch"] = (
+    masked(*_p, "none", "next_obs", source=VALIDATION)
+    + f""", able AS (SELECT traj_no, slot FROM tried JOIN rows USING (row_no) JOIN p USING (traj_no) WHERE slot < {3 * BATCH} AND first > 0), kept AS (
+      SELECT traj_no, row_number() OVER (ORDER BY slot) - 1 AS place FROM able QUALIFY place < {BATCH}
+    ), laid AS (SELECT masked.*, place, coalesce(id, 2) AS id, max(n) OVER () AS width FROM masked JOIN kept USING (traj_no) LEFT JOIN vocab USING (token))
+    {laid_out('tgt', 'place, traj_no', width='any_value(width)')} FROM laid GROUP BY place, traj_no"""
+)
+
+# The manifest as one JSON text: maps in order of their keys.
+
+
+def json_map(source: str, key: str, value: str) -> str:
+    return f"""(SELECT coalesce('{{' || string_agg(to_json(k) || ':' || v, ',' ORDER BY k) || '}}', '{{}}') FROM (SELECT coalesce({key}, 'unknown') AS k, {value} AS v FROM {source} GROUP BY ALL))"""
+
+
+ORACLES["manifest_document"] = (
+    PRE
+    + """, tokens AS (SELECT traj.split, coalesce(t.n, 0) AS n FROM traj LEFT JOIN (SELECT traj_no, sum(len(toks)) AS n FROM typed GROUP BY traj_no) t USING (traj_no)),
+    kinds AS (SELECT CASE WHEN json_type(f) = 'OBJECT' THEN f ->> '$.type' END AS type FROM flags)
+    SELECT '{"block_type_counts":' || """
+    + json_map("blk", "type", "count(*)")
+    + """ || ',"leakage_audit":{"flags_by_type":' || """
+    + json_map("kinds", "type", "count(*)")
+    + """ || ',"records_flagged":' || (SELECT count(DISTINCT traj_no) FROM flags) || ',"total_flags":' || (SELECT count(*) FROM flags) || '},"token_counts":' || """
+    + json_map("tokens", "split", "sum(n)::bigint")
+    + """ || ',"trajectory_counts":' || """
+    + json_map("traj", "split", "count(*)")
+    + " || '}' AS manifest"
+)
