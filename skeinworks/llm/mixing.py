@@ -119,10 +119,8 @@ def wanted(documents: DataFrame, targets: DataFrame) -> DataFrame:
     rows = plan.join(supply, "source", "left").fillna(0, ["supply", "documents"])
     usable = (F.col("supply") > 0) & (F.col("target_share") > 0) & (F.col("max_repeats") > 0)
     rows = rows.withColumn("usable", usable)
-    limit = F.min(F.when(F.col("usable"), F.col("supply") * F.col("max_repeats") / F.col("target_share")))
-    total = rows.agg(limit.alias("limit"))
-    rows = rows.join(F.broadcast(total))
-    times = F.when(F.col("usable"), F.least(F.col("limit") * F.col("target_share") / F.col("supply"), F.col("max_repeats").cast("double"))).otherwise(0.0)
+    limit = rows.agg(F.min(F.when(F.col("usable"), F.col("supply") * F.col("max_repeats") / F.col("target_share")))).scalar()
+    times = F.when(F.col("usable"), F.least(limit * F.col("target_share") / F.col("supply"), F.col("max_repeats").cast("double"))).otherwise(0.0)
     return rows.withColumn("times", times)
 
 
@@ -164,6 +162,6 @@ def mix(documents: DataFrame, targets: DataFrame, ranks: str = RANKS, block: int
     chosen = certain.unionByName(drawn).groupBy("doc_id", "source", "tokens").agg(F.sum("repeats").cast("int").alias("repeats")).filter("repeats > 0")
     reached = chosen.groupBy("source").agg(F.sum(F.col("tokens") * F.col("repeats")).alias("tokens"), F.sum("repeats").alias("uses"), F.count("*").alias("documents_used"), F.max("repeats").alias("most_repeats"))
     report = plan.select("source", "target_share", "max_repeats").join(reached, "source", "left").fillna(0, ["tokens", "uses", "documents_used", "most_repeats"])
-    everything = report.agg(F.sum("tokens").alias("all_tokens"))
-    report = report.join(F.broadcast(everything)).withColumn("actual_share", F.when(F.col("all_tokens") > 0, F.col("tokens") / F.col("all_tokens")).otherwise(0.0)).drop("all_tokens")
+    everything = reached.agg(F.sum("tokens")).scalar()
+    report = report.withColumn("actual_share", F.coalesce(F.col("tokens") / F.nullif(everything, F.lit(0)), F.lit(0.0)))
     return chosen, report

@@ -144,8 +144,6 @@ def marked_terms(trajectories: DataFrame, vocabulary: DataFrame, rare_below: int
     every = found.unionByName(listed).groupBy("term").agg(F.sum("occurrences").alias("occurrences"), F.sum("records").alias("records"))
     every = stash(every, "terms")
     # The row with the null term is one number: all records.
-    total = F.max(F.when(F.col("term").isNull(), F.col("records")))
-    terms = every.filter("term IS NOT NULL")
-    all_records = every.agg(F.coalesce(total, F.lit(0)).alias("all_records"))
-    mark = F.when(F.col("records") < rare_below, "rare").when(F.col("records") > F.col("all_records") * common_above, "common")
-    return terms.join(F.broadcast(all_records)).select("term", "occurrences", "records", mark.alias("mark"))
+    all_records = every.filter("term IS NULL").agg(F.coalesce(F.max("records"), F.lit(0))).scalar()
+    mark = F.when(F.col("records") < rare_below, "rare").when(F.col("records") > all_records * common_above, "common")
+    return every.filter("term IS NOT NULL").select("term", "occurrences", "records", mark.alias("mark"))
