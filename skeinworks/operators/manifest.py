@@ -34,18 +34,20 @@ def flagged_totals(flags: DataFrame, column: str = "leakage_flags") -> DataFrame
 def manifest(trajectories: DataFrame, flags: DataFrame) -> DataFrame:
     """One row of maps and structs: blocks by type, flags, tokens and trajectories by split; a missing name is ``unknown``."""
 
-    def entries(df: DataFrame, key: str, value: str, name: str) -> DataFrame:
-        pair = F.struct(F.coalesce(key, F.lit("unknown")).alias("k"), F.col(value).alias("v"))
-        return df.agg(F.map_from_entries(F.array_sort(F.collect_list(pair))).alias(name))
-
-    splits = split_totals(trajectories)
-    one = entries(block_totals(trajectories), "type", "blocks", "block_type_counts")
-    for part in (
-        entries(flag_totals(flags), "type", "flags", "flags_by_type"),
-        flagged_totals(flags),
-        entries(splits, "split", "tokens", "token_counts"),
-        entries(splits, "split", "trajectories", "trajectory_counts"),
-    ):
-        one = one.join(F.broadcast(part))  # each is a single row
-    audit = F.struct("flags_by_type", "records_flagged", "total_flags").alias("leakage_audit")
-    return one.select("block_type_counts", audit, "token_counts", "trajectory_counts")
+    def entries(df: DataFrame, key: str, *values: str) -> DataFrame:
+        pair = lambda v: F.struct(F.coalesce(key, F.lit("unknown")).alias("k"), F.col(v).alias("v"))
+        return df.agg(*[F.map_from_entries(F.array_sort(F.collect_list(pair(v)))).alias(v) for v in values])
+
+    # Each part is a single row, taken in as a scalar subquery.
+    splits = entries(split_totals(trajectories), "split", "tokens", "trajectories")
+    audit = F.struct(
+        entries(flag_totals(flags), "type", "flags").scalar().alias("flags_by_type"),
+        flagged_totals(flags).select("records_flagged").scalar().alias("records_flagged"),
+        flagged_totals(flags).select("total_flags").scalar().alias("total_flags"),
+    )
+    return entries(block_totals(trajectories), "type", "blocks").select(
+        F.col("blocks").alias("block_type_counts"),
+        audit.alias("leakage_audit"),
+        splits.select("tokens").scalar().alias("token_counts"),
+        splits.select("trajectories").scalar().alias("trajectory_counts"),
+    )

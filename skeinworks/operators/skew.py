@@ -15,8 +15,8 @@ def join_unique(rows: DataFrame, keyed: DataFrame, key: str, count: str) -> Data
     Rows of hot keys meet a broadcast of at most ``HOT`` rows where they are; only the others are shuffled.
     Null keys match nothing.
     """
-    total = keyed.agg(F.sum(count).alias("_total"))
-    hot = keyed.join(F.broadcast(total)).filter(F.col(count) * HOT > F.col("_total")).drop("_total")
+    total = keyed.agg(F.sum(count)).scalar()
+    hot = keyed.filter(F.col(count) * HOT > total)
     marked = rows.join(F.broadcast(hot.select(key, F.lit(True).alias("_hot"))), key, "left")
     here = marked.filter("_hot").drop("_hot").join(F.broadcast(hot), key)
     there = marked.filter("_hot IS NULL").drop("_hot").join(keyed, key)
