@@ -6,7 +6,7 @@ record), ``parent``, ``label`` (key), ``ordinal`` (position in a list),
 have their ``entity`` (trajectory, block, object, flag, evidence) and ``path``;
 scalars know the entity that owns them and their field name there.
 ``entity_table`` joins the nodes of an entity with its scalars and pivots them
-into columns.
+into columns; ``rest`` has a row for each scalar that no column takes.
 
 A line is one JSON value, alone or in a ``record`` wrapper. Lines that are
 null, blank or no valid JSON, and values without any field of a record, give no
@@ -171,13 +171,27 @@ def entity_table(nodes: DataFrame, entity: str, fields: list[str], line: str = "
 #: The flat tables: entity and the scalar fields that become columns.
 TABLES = {
     "trajectories": ("trajectory", ["trajectory_id", "env", "split", "goal", "goal.text", "goal.lang"]),
-    "blocks": ("block", ["step", "type", "text", "metadata.ms", "metadata.agent", "metadata.agent.name", "metadata.scene.room"]),
+    "blocks": ("block", ["step", "type", "text", "metadata.ms", "metadata.agent", "metadata.agent.name", "metadata.agent.model.size", "metadata.agent.model.temp", "metadata.scene.room"]),
     "objects": ("object", ["name", "kind", "state", "state.temp", "state.open"]),
     "flags": ("flag", ["type", "step"]),
     "evidence": ("evidence", ["block", "span.0", "span.1"]),
 }
 
 
+def rest(nodes: DataFrame, line: str = "line_no") -> DataFrame:
+    """The scalars that are in no column of ``TABLES``: the ``entity`` and ``path`` that own them, ``node``, ``field``, ``ordinal``, ``kind`` and ``scalar``.
+
+    As in ``entity_table``, rows whose ``line_no`` is null take no part.
+    """
+    owners = nodes.filter(F.col("entity").isNotNull()).select(F.col(line).alias("_line"), F.col("node").alias("_owner"), F.col("entity").alias("of"))
+    scalars = nodes.filter(F.col("scalar").isNotNull() & F.col("entity").isNull() & F.col(line).isNotNull())
+    joined = scalars.drop("entity").join(owners, (scalars[line] == owners["_line"]) & (scalars["owner"] == owners["_owner"]))
+    taken = F.lit(False)
+    for entity, fields in TABLES.values():
+        taken = taken | ((F.col("of") == entity) & F.col("field").isin(fields))
+    return joined.filter(~taken).select(line, F.col("of").alias("entity"), "path", "node", "field", "ordinal", "kind", "scalar")
+
+
 def flat_tables(lines: DataFrame) -> dict[str, DataFrame]:
     """All flat tables; ``line_no`` and ``parent_path`` link a child to its parent."""
     nodes = shred(lines)

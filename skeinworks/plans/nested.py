@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skeinworks.operators.shred import TABLES, children, entity_table, shred
+from skeinworks.operators.shred import TABLES, children, entity_table, rest, shred
 from skeinworks.sources.tables import table
 
 
@@ -14,13 +14,17 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     return children(shred(table(spark, folder, "raw_trajectories")))
 
 
+def p2_rest(spark: SparkSession, folder: str) -> DataFrame:
+    return rest(shred(table(spark, folder, "raw_trajectories")))
+
+
 def _flat(name: str) -> Callable[[SparkSession, str], DataFrame]:
     entity, fields = TABLES[name]
     return lambda spark, folder: entity_table(shred(table(spark, folder, "raw_trajectories")), entity, fields)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p2_found": p2_found, **{f"p2_{name}": _flat(name) for name in TABLES}}
+    return {"p2_found": p2_found, **{f"p2_{name}": _flat(name) for name in TABLES}, "p2_rest": p2_rest}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -71,6 +71,24 @@ def test_flat_tables_keep_their_parents(spark):
     assert t["evidence"][0]["span_1"] == "9" and t["evidence"][0]["parent_path"] == "0"
 
 
+def test_no_scalar_is_lost(spark):
+    """Every scalar of a record is in a column of a flat table or a row of the rest."""
+    agent = {"name": "n", "model": {"size": "7b", "temp": 0.2, "seed": 4}}
+    record = {"trajectory_id": "t", "score": 1, "goal": {"text": "g", "by": "z"}, "blocks": [{"type": "Goal", "text": "x", "metadata": {"agent": agent, "objects": ["lamp", "desk", {"name": "a", "mass": 2.5}]}}, "bare"], "leakage_flags": [{"type": "k", "sure": True, "evidence": [{"block": 3, "span": [1, 9, 11]}]}]}
+    lines = spark.createDataFrame([(7, json.dumps(record))], "line_no long, raw string")
+    tables = {k: v.collect() for k, v in shred.flat_tables(lines).items()}
+    block = next(r for r in tables["blocks"] if r["path"] == "0")
+    assert (block["metadata_agent_model_size"], block["metadata_agent_model_temp"]) == ("7b", "0.2")
+    left = sorted(((r["entity"], r["path"], r["field"], r["scalar"]) for r in shred.rest(shred.shred(lines)).collect()), key=lambda r: tuple(map(str, r)))
+    assert left == sorted([
+        ("trajectory", None, "score", "1"), ("trajectory", None, "goal.by", "z"), ("block", "0", "metadata.agent.model.seed", "4"), ("block", "0", "metadata.objects", "lamp"),
+        ("block", "0", "metadata.objects", "desk"), ("object", "0.2", "mass", "2.5"), ("flag", "0", "sure", "true"), ("evidence", "0.0", "span.2", "11"),
+    ], key=lambda r: tuple(map(str, r)))
+    held = [v for rows in tables.values() for r in rows for k, v in r.asDict().items() if v is not None and k not in ("line_no", "path", "parent_path", "ordinal")]
+    scalars = shred.shred(lines).filter("scalar IS NOT NULL").count()
+    assert len(held) + len(left) == scalars
+
+
 def test_children_agree_with_a_recursive_walk(spark, folder):
     import duckdb
 
