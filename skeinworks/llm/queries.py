@@ -51,7 +51,11 @@ def p5_runs(spark: SparkSession, folder: str) -> DataFrame:
 
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     pairs = overlap.overlapping_pairs(table(spark, folder, "trajectories"))
-    return pairs.select(F.least("train_no", "eval_no").alias("traj_no_a"), F.greatest("train_no", "eval_no").alias("traj_no_b"))
+    return pairs.select(F.least("train_no", "eval_no").alias("traj_no_a"), F.greatest("train_no", "eval_no").alias("traj_no_b")).distinct()
+
+
+def p6_classes(spark: SparkSession, folder: str) -> DataFrame:
+    return overlap.class_of_each(table(spark, folder, "trajectories"))
 
 
 def p6_overlaps(spark: SparkSession, folder: str) -> DataFrame:
@@ -87,7 +91,7 @@ def p10_by_source(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: list[Callable[[SparkSession, str], DataFrame]] = [
-    p1_found, p1_splits, p3_token_budget, p3_record_tokens, p4_found, p4_terms, p5_found, p5_runs, p6_found, p6_overlaps,
+    p1_found, p1_splits, p3_token_budget, p3_record_tokens, p4_found, p4_terms, p5_found, p5_runs, p6_found, p6_classes, p6_overlaps,
     p7_packing, p7_fill, p8_ids, p9_selection, p9_shares, p10_found, p10_by_source,
 ]
 
