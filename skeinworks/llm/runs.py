@@ -2,14 +2,16 @@
 
 Events are first given a canonical value: the writing is set aside (case,
 spacing, punctuation, composed letters, clock times, retry counts), and an
-event whose words differ from the run before it only by slips of the pen takes
-that run's value. Runs are then the rows with the same difference between the
-row number within the session and the row number within session and value.
+event whose words differ from those of the events just before it only by slips
+of the pen has their value. A value is a hash of what the first of them says: it
+is the same wherever the session says the same again. Runs are the rows of a
+value with the same difference between the row number within the session and
+the row number within session and value.
 
 A session may hold a third of all rows. It is worked on in stretches of
 ``STRETCH`` consecutive numbers, and only the first and the last run of each
-stretch go through the same two steps once more, so that runs across borders
-are joined.
+stretch go through the same two steps once more, stretch of stretches by stretch
+of stretches, so that runs across borders are joined.
 
 Rows without session, number or text, or of an unknown type, are no events.
 Of rows with the same ``event_no`` one is kept; an event without one stands for
@@ -133,33 +135,40 @@ class Run:
         return out if i == len(words) else None
 
 
+def value_of(kind: str, compact: str) -> int:
+    """What an event says, as a number."""
+    import xxhash
+
+    return (xxhash.xxh3_64_intdigest(f"{kind}\n{compact}") >> 1) - (1 << 62)
+
+
 def canonical(batches: Iterator) -> Iterator:
-    """Adds ``value``, the place of its run's first row in the group, to rows (session, part, kind, text, tag, ...) in order.
+    """Adds ``value``, what the event says, to rows (session, part, kind, text, tag, ...) in order.
 
-    Rows with the tag of the row before them are dropped. A row without text ends the run and takes part in none.
+    Rows with the tag of the row before them are dropped. A row without text says nothing (null) and nobody continues it.
     Only the first row of a run keeps its text.
     """
     import pyarrow as pa
 
     slips: dict = {}
-    group, run, at, value, last = None, None, 0, 0, None
+    group, run, value, last = None, None, None, None
     for batch in batches:
         values, texts, kept = [], [], []
         for i, (g, p, kind, text, tag) in enumerate(zip(*(batch.column(k).to_pylist() for k in range(5)))):
             if (g, p) != group:
-                group, run, at, last = (g, p), None, 0, None
+                group, run, last = (g, p), None, None
             if tag is not None and tag == last:
                 continue
             last = tag
-            at += 1
             if text is None:
-                run, value = None, at
+                run, value = None, None
             else:
                 words = plain_words(text)
-                if run is None or not run.takes(kind, words, slips):
-                    run, value = Run(kind, words), at
-                elif value != at:
+                if run is not None and run.takes(kind, words, slips):
                     text = None
+                else:
+                    run = Run(kind, words)
+                    value = value_of(kind, run.compact)
             kept.append(i)
             values.append(value)
             texts.append(text)
@@ -169,14 +178,19 @@ def canonical(batches: Iterator) -> Iterator:
             yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names, "value"])
 
 
-def canonical_events(events: DataFrame, order: list[str]) -> DataFrame:
-    """``events`` with ``value``; groups (session, part) are streamed through, never collected."""
+#: Rows of a task, as long as there are no more than so many tasks.
+TASK_ROWS, MOST_TASKS = 50_000, 20_000
+
+
+def canonical_events(events: DataFrame, order: list[str], rows: int | None = None) -> DataFrame:
+    """``events`` with ``value``; groups (session, part) are streamed through, never collected. ``rows``: about how many there are."""
     from pyspark.sql import types as T
 
     first = ["session", "part", "kind", "text", "tag"]
     rest = [c for c in events.columns if c not in first]
     schema = T.StructType([events.schema[c] for c in [*first, *rest]] + [T.StructField("value", T.LongType())])
-    placed = events.repartition("session", "part").sortWithinPartitions("session", "part", *order)
+    tasks = max(int(events.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(MOST_TASKS, -(-rows // TASK_ROWS))) if rows else None
+    placed = (events.repartition(tasks, "session", "part") if tasks else events.repartition("session", "part")).sortWithinPartitions("session", "part", *order)
     return placed.select(*first, *rest).mapInArrow(canonical, schema)
 
 
@@ -198,14 +212,14 @@ def event_runs(log: DataFrame) -> DataFrame:
     said = F.col("block_text").rlike(r"[^\s\p{Z}\p{C}]")
     kept = log.filter(F.col("block_type").isin(TYPES) & F.col("trajectory_id").isNotNull() & F.col("seq").isNotNull() & said).select(
         F.col("trajectory_id").alias("session"),
-        F.shiftright("seq", STRETCH_BITS).alias("part"),
+        F.shiftright("seq", STRETCH_BITS).cast("long").alias("part"),
         F.col("block_type").alias("kind"),
         F.col("block_text").alias("text"),
         F.col("event_no").alias("tag"),
         "seq",
         "logged_at",
     )
-    marked = islands(canonical_events(kept, ["seq", "tag"]), ["seq", "tag"])
+    marked = islands(canonical_events(kept, ["seq", "tag"], log.count()), ["seq", "tag"])
     runs = marked.groupBy("session", "part", "value", "island").agg(
         F.min("place").alias("place"),
         F.min("kind").alias("kind"),
@@ -232,23 +246,35 @@ def event_runs(log: DataFrame) -> DataFrame:
 
 
 def joined_borders(runs: DataFrame) -> DataFrame:
-    """Joins the last run of a stretch with the first of the next where they say the same."""
-    whole = Window.partitionBy("session", "part")
-    placed = runs.withColumn("at_start", F.col("place") == F.min("place").over(whole)).withColumn("at_end", F.col("place") == F.max("place").over(whole))
-    inner = placed.filter("NOT (at_start OR at_end)").select(*RUN)
-    border = placed.filter("at_start OR at_end").select("part", (2 * F.col("place")).alias("place"), "at_start", "at_end", *RUN)
-    # A row without text stands between the first and the last run of a stretch: these two are never joined.
-    gap = border.filter("at_end AND NOT at_start").withColumns({"place": F.col("place") - 1, "text": F.lit(None).cast("string"), "events": F.lit(None).cast("long")})
-    chain = border.unionByName(gap).select(F.lit(0).alias("part"), F.col("part").alias("stretch"), F.col("place").alias("at"), F.lit(None).cast("long").alias("tag"), *RUN)
-    again = islands(canonical_events(chain, ["stretch", "at"]), ["stretch", "at"])
-    over = again.filter("events IS NOT NULL").groupBy("session", "value", "island")
-    ends = over.agg(
-        F.min("kind").alias("kind"),
-        F.min("text").alias("text"),
-        F.min("first_seq").alias("first_seq"),
-        F.max("last_seq").alias("last_seq"),
-        F.sum("events").alias("events"),
-        F.min("first_logged").alias("first_logged"),
-        F.max("last_logged").alias("last_logged"),
-    )
-    return inner.unionByName(ends.select(*RUN))
+    """Joins the last run of a stretch with the first of the next where they say the same.
+
+    Stretches of stretches are joined level by level, ``STRETCH`` at a time, until every session is one.
+    """
+    spread = runs.agg(F.max(F.greatest("part", -1 - F.col("part"))).alias("most")).first()["most"] or 0
+    done = None
+    while True:
+        whole = Window.partitionBy("session", "part")
+        placed = runs.withColumn("at_start", F.col("place") == F.min("place").over(whole)).withColumn("at_end", F.col("place") == F.max("place").over(whole))
+        inner = placed.filter("NOT (at_start OR at_end)").select(*RUN)
+        done = inner if done is None else done.unionByName(inner)
+        border = placed.filter("at_start OR at_end").select("part", (2 * F.col("place")).alias("place"), "at_start", "at_end", *RUN)
+        # A row without text stands between the first and the last run of a stretch: these two are never joined.
+        gap = border.filter("at_end AND NOT at_start").withColumns({"place": F.col("place") - 1, "text": F.lit(None).cast("string"), "events": F.lit(None).cast("long")})
+        # Numbers below 0 and from 0 on meet on the last level.
+        last = spread < STRETCH
+        upper = F.lit(0).cast("long") if last else F.shiftright("part", STRETCH_BITS)
+        chain = border.unionByName(gap).select(upper.alias("part"), F.col("part").alias("stretch"), F.col("place").alias("at"), F.lit(None).cast("long").alias("tag"), *RUN)
+        again = islands(canonical_events(chain, ["stretch", "at"]), ["stretch", "at"])
+        ends = again.filter("events IS NOT NULL").groupBy("session", "part", "value", "island").agg(
+            F.min("place").alias("place"),
+            F.min("kind").alias("kind"),
+            F.min("text").alias("text"),
+            F.min("first_seq").alias("first_seq"),
+            F.max("last_seq").alias("last_seq"),
+            F.sum("events").alias("events"),
+            F.min("first_logged").alias("first_logged"),
+            F.max("last_logged").alias("last_logged"),
+        )
+        if last:
+            return done.unionByName(ends.select(*RUN))
+        runs, spread = stash(ends, "runs"), spread >> STRETCH_BITS

@@ -86,6 +86,30 @@ def test_against_a_loop_across_stretches(spark, make):
     assert max(r["last_seq"] - r["first_seq"] for r in got) > runs.STRETCH // 2
 
 
+def test_row_numbers_find_the_runs(spark, make):
+    """What comes back has its value again; only the difference of the row numbers tells its runs apart."""
+    from pyspark.sql import functions as F
+
+    said = ["Go on", "go on!", "Wait", "GO ON", "gO  on", "wiat", "go on"]
+    rows = [(i, "s", i, 0, "Think", t, AT + dt.timedelta(seconds=i), AT) for i, t in enumerate(said)]
+    got = runs.event_runs(make.log(rows)).collect()
+    assert sorted((r["first_seq"], r["last_seq"]) for r in got) == [(0, 1), (2, 2), (3, 4), (5, 5), (6, 6)]
+    events = make.log(rows).select(F.col("trajectory_id").alias("session"), F.lit(0).cast("long").alias("part"), F.col("block_type").alias("kind"), F.col("block_text").alias("text"), F.col("event_no").alias("tag"), "seq")
+    marked = runs.islands(runs.canonical_events(events, ["seq"]), ["seq"])
+    assert marked.select("value").distinct().count() == 3 and marked.select("value", "island").distinct().count() == 5
+
+
+def test_levels_of_stretches(spark, make, monkeypatch):
+    """Short stretches, so that several levels are joined; numbers below 0 too."""
+    monkeypatch.setattr(runs, "STRETCH_BITS", 2)
+    monkeypatch.setattr(runs, "STRETCH", 4)
+    drawn = random.Random(8)
+    rows = [(i, "s", i - 150, 0, "Think", drawn.choice(["go", "GO", "Go!", "stop"]) if i % 40 else "halt", AT, AT) for i in range(300)]
+    rows += [(1000 + i, "t", i, 0, "Think", "the same", AT, AT) for i in range(150)]
+    got = runs.event_runs(make.log(rows)).collect()
+    assert sorted((r["trajectory_id"], r["first_seq"], r["last_seq"], r["events"]) for r in got) == brute(rows)
+
+
 def test_edges(spark, make):
     t = lambda s: AT + dt.timedelta(seconds=s)
     rows = [
