@@ -41,6 +41,15 @@ def p4_terms(spark: SparkSession, folder: str) -> DataFrame:
     return terms.marked_terms(table(spark, folder, "trajectories"), table(spark, folder, "vocab"))
 
 
+def p4_merged(spark: SparkSession, folder: str) -> DataFrame:
+    """The same terms from two loads, what arrived in the first half of the time and the rest, merged."""
+    rows = table(spark, folder, "trajectories")
+    seconds = F.unix_timestamp(F.col("loaded_at").cast("timestamp"))
+    half = rows.agg(((F.min(seconds) + F.max(seconds)) / 2).alias("half")).first()["half"] or 0
+    early = F.coalesce(seconds <= half, F.lit(True))
+    return terms.marked(terms.merged_loads([rows.filter(early), rows.filter(~early)]), table(spark, folder, "vocab"))
+
+
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     return p5_runs(spark, folder).filter("events > 1").select("trajectory_id", "first_seq", "last_seq")
 
@@ -91,7 +100,7 @@ def p10_by_source(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: list[Callable[[SparkSession, str], DataFrame]] = [
-    p1_found, p1_splits, p3_token_budget, p3_record_tokens, p4_found, p4_terms, p5_found, p5_runs, p6_found, p6_classes, p6_overlaps,
+    p1_found, p1_splits, p3_token_budget, p3_record_tokens, p4_found, p4_terms, p4_merged, p5_found, p5_runs, p6_found, p6_classes, p6_overlaps,
     p7_packing, p7_fill, p8_ids, p9_selection, p9_shares, p10_found, p10_by_source,
 ]
 

@@ -29,6 +29,7 @@ WITH once AS (
 """
 
 ORACLES = {
+    "p4_merged": TERMS + "SELECT term, occurrences, records, mark FROM marked",
     "p4_found": TERMS + "SELECT term, mark FROM marked WHERE mark IS NOT NULL",
     "p4_terms": TERMS + "SELECT term, occurrences, records, mark FROM marked",
 }

@@ -3,12 +3,13 @@
 The layout is vertical: a posting is (term, bucket, container, occurrences),
 where the container holds the identifiers of the records of one bucket of
 ``BUCKET`` consecutive identifiers: the two-byte offsets themselves while they
-take less room, a bitmap beyond. Records are shuffled once, by bucket, so that
-a task meets all deliveries of a record and all records of a bucket; a term
-that a third of all records hold is spread over as many postings as there are
-buckets. Containers of different buckets are disjoint: their union is their
-concatenation and its cardinality the sum of theirs. Postings of the same
-bucket from two loads are merged by ``merge_postings``.
+take less room, a bitmap beyond. Records are shuffled once, by bucket and one
+of ``PARTS`` parts of it, so that a task meets all deliveries of a record and no
+bucket is a single task; it makes the postings of its part. The parts of a term
+and bucket, and those of several loads, are merged by the union of their
+containers (``merge_postings``). A term that a third of all records hold is
+spread over as many postings as there are buckets; those of different buckets
+are disjoint, so that the cardinality of their union is the sum of theirs.
 
 Texts that are null or blank hold no term. Rows without an identifier are no
 records. Of several deliveries of an identifier the first by ``order`` counts.
@@ -26,8 +27,12 @@ from skeinworks.functions.words import WORD
 from skeinworks.session import stash
 
 #: Identifiers of a bucket; a bitmap of them takes BUCKET / 8 bytes.
-BITS = 12
+BITS = 16
 BUCKET = 1 << BITS
+#: Parts of a bucket, which are worked on apart.
+PARTS = 16
+#: Records of a task, as long as there are no more than so many tasks.
+TASK_ROWS, MOST_TASKS = 4096, 20_000
 POSTINGS = "term string, bucket long, container binary, dense boolean, occurrences long"
 
 
@@ -51,12 +56,12 @@ def unpacked(container: bytes, dense: bool):
 
 
 def postings_of_rows(batches: Iterator) -> Iterator:
-    """Postings of rows (bucket, id, texts) that come sorted by bucket and id, one row per id."""
+    """Postings of rows (bucket, part, id, texts) that come sorted, for each part of a bucket."""
     import pyarrow as pa
 
     held: dict[str, list] = {}
     records: list[int] = []
-    bucket = None
+    at, bucket = None, None
 
     def flush():
         out = [(None, *packed(records), 0)] if records else []
@@ -70,10 +75,10 @@ def postings_of_rows(batches: Iterator) -> Iterator:
             )
 
     for batch in batches:
-        for b, i, text in zip(*(batch.column(k).to_pylist() for k in range(3))):
-            if b != bucket:
+        for b, p, i, text in zip(*(batch.column(k).to_pylist() for k in range(4))):
+            if (b, p) != at:
                 yield from flush()
-                held, records, bucket = {}, [], b
+                held, records, at, bucket = {}, [], (b, p), b
             offset = i & (BUCKET - 1)
             if records and records[-1] == offset:
                 continue  # a later delivery
@@ -82,29 +87,32 @@ def postings_of_rows(batches: Iterator) -> Iterator:
             for w in WORD.findall(text.lower()) if text else ():
                 counts[w] = counts.get(w, 0) + 1
             for w, n in counts.items():
-                p = held.get(w)
-                if p is None:
+                posting = held.get(w)
+                if posting is None:
                     held[w] = [n, offset]
                 else:
-                    p[0] += n
-                    p.append(offset)
+                    posting[0] += n
+                    posting.append(offset)
     yield from flush()
 
 
 def term_postings(rows: DataFrame, identifier: str, texts: Column, order: str | None = None) -> DataFrame:
-    """Postings of the word tokens of ``texts`` (an array of strings); the posting with a null term holds all records."""
+    """Postings of the word tokens of ``texts`` (an array of strings); those with a null term hold all records."""
+    number = F.col(identifier).cast("long")
     kept = rows.filter(F.col(identifier).isNotNull()).select(
-        F.shiftright(F.col(identifier).cast("long"), BITS).alias("bucket"),
-        F.col(identifier).cast("long").alias("id"),
+        F.shiftright(number, BITS).alias("bucket"),
+        F.pmod(F.xxhash64(number), F.lit(PARTS)).cast("int").alias("part"),
+        number.alias("id"),
         F.array_join(texts, "\n").alias("text"),
         *([F.col(order).alias("arrival")] if order else []),
     )
-    sorted_rows = kept.repartition("bucket").sortWithinPartitions("bucket", "id", *(["arrival"] if order else []))
-    return sorted_rows.select("bucket", "id", "text").mapInArrow(postings_of_rows, POSTINGS)
+    tasks = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(MOST_TASKS, -(-rows.count() // TASK_ROWS)))
+    sorted_rows = kept.repartition(tasks, "bucket", "part").sortWithinPartitions("bucket", "part", "id", *(["arrival"] if order else []))
+    return merge_postings(sorted_rows.select("bucket", "part", "id", "text").mapInArrow(postings_of_rows, POSTINGS))
 
 
 def merge_postings(postings: DataFrame) -> DataFrame:
-    """The union of postings of several loads of different records: one row per term and bucket."""
+    """The union of postings of parts, or of several loads of different records: one row per term and bucket."""
 
     def union(batches: Iterator) -> Iterator:
         import numpy as np
@@ -113,6 +121,9 @@ def merge_postings(postings: DataFrame) -> DataFrame:
         for batch in batches:
             out = []
             for term, bucket, parts, n in zip(*(c.to_pylist() for c in batch.columns)):
+                if len(parts) == 1:
+                    out.append((term, bucket, parts[0]["container"], parts[0]["dense"], n))
+                    continue
                 ids = np.unique(np.concatenate([unpacked(p["container"], p["dense"]) for p in parts]))
                 out.append((term, bucket, *packed(ids), n))
             if out:
@@ -139,7 +150,24 @@ def marked_terms(trajectories: DataFrame, vocabulary: DataFrame, rare_below: int
     ``rare``: held by fewer than ``rare_below`` trajectories; ``common``: by more than the share ``common_above`` of
     all; else null. Null tokens of the vocabulary are no terms, repeated ones are one.
     """
-    found = term_frequencies(term_postings(trajectories, "traj_no", F.col("blocks.text"), "loaded_at"))
+    return marked(term_postings(trajectories, "traj_no", F.col("blocks.text"), "loaded_at"), vocabulary, rare_below, common_above)
+
+
+def merged_loads(loads: list[DataFrame]) -> DataFrame:
+    """The postings of all ``loads``, each made by itself and merged; a ``traj_no`` that an earlier load has counts there."""
+    postings, before = None, None
+    for load in loads:
+        new = load if before is None else load.join(before, "traj_no", "left_anti")
+        made = stash(term_postings(new, "traj_no", F.col("blocks.text"), "loaded_at"), "postings")
+        postings = made if postings is None else merge_postings(postings.unionByName(made))
+        numbers = load.select("traj_no").distinct()
+        before = numbers if before is None else before.union(numbers).distinct()
+    return postings
+
+
+def marked(postings: DataFrame, vocabulary: DataFrame, rare_below: int = 3, common_above: float = 0.5) -> DataFrame:
+    """Terms of ``postings`` and of the vocabulary with their frequencies and mark, as in ``marked_terms``."""
+    found = term_frequencies(postings)
     listed = vocabulary.filter("token IS NOT NULL").select(F.col("token").alias("term"), F.lit(0).cast("long").alias("occurrences"), F.lit(0).cast("long").alias("records"))
     every = found.unionByName(listed).groupBy("term").agg(F.sum("occurrences").alias("occurrences"), F.sum("records").alias("records"))
     every = stash(every, "terms")
