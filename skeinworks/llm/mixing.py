@@ -10,8 +10,8 @@ they are, until each is 0 or 1. This flight runs in blocks of at most
 together, level after level, until a source has one block. What then is left,
 at most as many units as there are constraints, lands on the nearest totals.
 
-Draws are functions of the document's identifier and a seed, not of
-partitions. Sources that are null or have no target take no part; a target
+Draws are functions of a seed, the source, the level and the document's
+identifier, not of partitions; another seed gives another selection. Sources that are null or have no target take no part; a target
 without documents has an actual share of 0 and the others keep their
 proportions. Documents without tokens (null, empty) are not chosen. Targets of
 a source that are repeated count once (the largest); null targets or
@@ -32,8 +32,11 @@ BLOCK = 20_000
 EDGE = 1e-9
 
 
-def flight(prob: list[float], sizes: list[float]) -> None:
-    """Moves ``prob`` in place until at most two entries are neither 0 nor 1; their sum and their sum of sizes stay."""
+def flight(prob: list[float], sizes: list[float], ids: list, *key) -> None:
+    """Moves ``prob`` in place until at most two entries are neither 0 nor 1; their sum and their sum of sizes stay.
+
+    Draws are functions of ``key`` and the identifier of the unit that came last.
+    """
     free: list[int] = []
     for i, p in enumerate(prob):
         if not EDGE < p < 1 - EDGE:
@@ -49,8 +52,8 @@ def flight(prob: list[float], sizes: list[float]) -> None:
             u = (1.0, -1.0, 0.0)
         up = min(((1 - prob[k]) / d if d > 0 else prob[k] / -d) for k, d in zip(free, u) if d)
         down = min((prob[k] / d if d > 0 else (1 - prob[k]) / -d) for k, d in zip(free, u) if d)
-        # A martingale step: the draw is a function of the unit that came last.
-        step = up if draw(i, prob[a], prob[b]) * (up + down) < down else -down
+        # A martingale step, with a draw of its own: each unit comes last once.
+        step = up if draw(*key, ids[i]) * (up + down) < down else -down
         left = []
         for k, d in zip(free, u):
             p = prob[k] + step * d
@@ -85,7 +88,7 @@ def landing(prob: list[float], sizes: list[float]) -> None:
         prob[i] = c
 
 
-def fly(groups: DataFrame, last: bool) -> DataFrame:
+def fly(groups: DataFrame, last: bool, seed: int, level: int) -> DataFrame:
     """The flight over rows (source, block, doc_id, tokens, prob) of every block; on the last level also the landing."""
 
     def move(table):
@@ -94,7 +97,7 @@ def fly(groups: DataFrame, last: bool) -> DataFrame:
         table = table.sort_by([("tokens", "ascending"), ("doc_id", "ascending")])
         prob = table.column("prob").to_pylist()
         sizes = [float(t) for t in table.column("tokens").to_pylist()]
-        flight(prob, sizes)
+        flight(prob, sizes, table.column("doc_id").to_pylist(), seed, level, table.column("source")[0].as_py())
         if last:
             landing(prob, sizes)
         return table.set_column(table.schema.get_field_index("prob"), "prob", pa.array(prob, pa.float64()))
@@ -124,7 +127,7 @@ def wanted(documents: DataFrame, targets: DataFrame) -> DataFrame:
     return rows.withColumn("times", times)
 
 
-def mix(documents: DataFrame, targets: DataFrame, ranks: str = RANKS, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
+def mix(documents: DataFrame, targets: DataFrame, ranks: str = RANKS, block: int = BLOCK, seed: int = 0) -> tuple[DataFrame, DataFrame]:
     """The selection (``doc_id, source, tokens, repeats``) and the report per target (shares wanted and reached)."""
     docs = stash(sized(documents, ranks), "mix-sizes")
     # A row per target: a table that someone writes by hand, still checked before it is collected.
@@ -148,7 +151,7 @@ def mix(documents: DataFrame, targets: DataFrame, ranks: str = RANKS, block: int
     done = []
     while True:
         last = blocks <= 1
-        moved = stash(fly(open_, last), "mix-flight")
+        moved = stash(fly(open_, last, seed, len(done)), "mix-flight")
         done.append(moved.filter(F.col("prob") >= 1 - EDGE))
         if last:
             break
