@@ -4,7 +4,10 @@ A trajectory is a vector: word tokens, one segment, loss-bearing tokens (those
 of Think and Action blocks). Sequences are filled one after the other: the next
 trajectory is the one whose vector has the largest dot product with what is
 left in the sequence, among those that fit in every dimension; where one or two
-trajectories fill the tokens that are left exactly, they go first. Only a
+trajectories fill the tokens that are left exactly, they go first. Limits are
+the capacity in tokens, a segment for every ``SEGMENT_TOKENS`` of it (two at
+least) and ``LOSS_SHARE`` of it in loss-bearing tokens; a trajectory or rest that
+has more of these than that gets a sequence of its own. Only a
 trajectory above the capacity is divided: into full sequences of its own, and a
 rest that is packed like any other.
 
@@ -32,6 +35,8 @@ from skeinworks.session import stash
 
 SIZED, LOSS = ["Goal", "Think", "Action", "Observation"], ["Think", "Action"]
 SHARD = 50_000
+#: Tokens of capacity for each segment, and the share of it that may bear loss.
+SEGMENT_TOKENS, LOSS_SHARE = 192, 0.65
 PLACED = "pack_name string, max_len int, traj_no long, piece int, seq_no long, tokens long, loss_tokens long"
 
 
@@ -145,8 +150,16 @@ def pack_shard(tokens, loss, capacity: int, max_segments: int, max_loss: float)
     return out
 
 
-def pack(sizes: DataFrame, packs: DataFrame, max_segments: int = 1024, max_loss_share: float = 1.0, shard: int = SHARD) -> DataFrame:
-    """Rows of ``PLACED``: one per trajectory and capacity, more only for a trajectory above the capacity."""
+def segments_of(capacity: int, segment_tokens: int = SEGMENT_TOKENS) -> int:
+    """How many segments a sequence may have."""
+    return max(2, capacity // segment_tokens)
+
+
+def pack(sizes: DataFrame, packs: DataFrame, segment_tokens: int = SEGMENT_TOKENS, max_loss_share: float = LOSS_SHARE, shard: int = SHARD) -> DataFrame:
+    """Rows of ``PLACED``: one per trajectory and capacity, more only for a trajectory above the capacity.
+
+    The full sequences of a trajectory above the capacity are not held to the limit on loss-bearing tokens: nothing can be moved.
+    """
     # A row per capacity: a table that someone writes by hand, still checked.
     rows = packs.filter("max_len >= 1 AND pack_name IS NOT NULL").select("pack_name", F.col("max_len").cast("int")).limit(1001).collect()
     if len(rows) > 1000:
@@ -172,7 +185,7 @@ def pack(sizes: DataFrame, packs: DataFrame, max_segments: int = 1024, max_loss_
         rest_loss = np.where(full > 0, loss - full * capacity * loss // np.maximum(tokens, 1), loss)
         rest_loss = np.clip(rest_loss, 0, rest)
         packed = np.flatnonzero((full == 0) | (rest > 0))
-        seq = np.array(pack_shard(rest[packed], rest_loss[packed], capacity, max_segments, max_loss_share * capacity), np.int64)
+        seq = np.array(pack_shard(rest[packed], rest_loss[packed], capacity, segments_of(capacity, segment_tokens), max_loss_share * capacity), np.int64)
         last = int(seq.max()) + 1 if len(seq) else 0
         whole = np.repeat(np.arange(len(ids)), full)
         first = np.cumsum(full) - full
@@ -194,8 +207,25 @@ def pack(sizes: DataFrame, packs: DataFrame, max_segments: int = 1024, max_loss_
     return items.groupBy("pack", "shard").applyInArrow(place, PLACED)
 
 
-def fill_report(placed: DataFrame) -> DataFrame:
-    """Per capacity: sequences, tokens, and the share of the room that they fill."""
+def fill_report(placed: DataFrame, segment_tokens: int = SEGMENT_TOKENS, max_loss_share: float = LOSS_SHARE) -> DataFrame:
+    """Per capacity: sequences, tokens, the share of the room that they fill, and what part of the other limits the fullest reach.
+
+    ``loss_reached`` is over sequences of two or more segments: one alone may be above the limit.
+    """
+    limit = F.greatest(F.lit(2), F.floor(F.col("max_len") / segment_tokens))
     sequences = placed.groupBy("pack_name", "max_len", "seq_no").agg(F.sum("tokens").alias("tokens"), F.count("*").alias("segments"), F.sum("loss_tokens").alias("loss_tokens"))
-    sums = sequences.groupBy("pack_name", "max_len").agg(F.count("*").alias("sequences"), F.sum("tokens").alias("tokens"), F.max("tokens").alias("fullest"), F.max("segments").alias("most_segments"))
-    return sums.withColumn("filled", F.col("tokens") / (F.col("sequences") * F.col("max_len")))
+    sums = sequences.groupBy("pack_name", "max_len").agg(
+        F.count("*").alias("sequences"),
+        F.sum("tokens").alias("tokens"),
+        F.max("tokens").alias("fullest"),
+        F.max("segments").alias("most_segments"),
+        F.coalesce(F.max(F.when(F.col("segments") > 1, F.col("loss_tokens"))), F.lit(0)).alias("most_loss"),
+        F.count(F.when(F.col("segments") >= limit, 1)).alias("at_segments"),
+    )
+    return sums.withColumns(
+        {
+            "filled": F.col("tokens") / (F.col("sequences") * F.col("max_len")),
+            "segments_reached": F.col("most_segments") / limit,
+            "loss_reached": F.col("most_loss") / (F.col("max_len") * max_loss_share),
+        }
+    )

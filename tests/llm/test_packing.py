@@ -9,11 +9,11 @@ import numpy as np
 from skeinworks.llm import packing
 
 
-def check(placed, sizes, max_segments, max_loss):
+def check(placed, sizes, segment_tokens, max_loss):
     for name, part in placed.groupby("pack_name"):
         capacity = part.max_len.iloc[0]
         seq = part.groupby("seq_no")
-        assert (seq.tokens.sum() <= capacity).all() and (seq.size() <= max_segments).all()
+        assert (seq.tokens.sum() <= capacity).all() and (seq.size() <= packing.segments_of(capacity, segment_tokens)).all()
         alone = seq.size() == 1
         assert ((seq.loss_tokens.sum() <= max_loss * capacity + 1e-9) | alone).all()
         per = part.groupby("traj_no").agg({"tokens": "sum", "piece": "count"})
@@ -28,13 +28,29 @@ def test_limits_and_fill(spark, make):
     rows = [(i, n, drawn.randrange(0, n + 1)) for i, n, _ in rows]
     sizes = spark.createDataFrame(rows, "traj_no long, tokens long, loss_tokens long")
     packs = spark.createDataFrame([("narrow", 384), ("wide", 2048), ("none", None), ("zero", 0)], "pack_name string, max_len int")
-    placed = packing.pack(sizes, packs).toPandas()
+    placed = packing.pack(sizes, packs, segment_tokens=1, max_loss_share=1.0).toPandas()
     assert set(placed.pack_name) == {"narrow", "wide"}
-    check(placed, {i: n for i, n, _ in rows}, 1024, 1.0)
-    report = {r["pack_name"]: r["filled"] for r in packing.fill_report(packing.pack(sizes, packs)).collect()}
+    check(placed, {i: n for i, n, _ in rows}, 1, 1.0)
+    report = {r["pack_name"]: r["filled"] for r in packing.fill_report(packing.pack(sizes, packs, 1, 1.0), 1, 1.0).collect()}
     assert report["wide"] > 0.99 and report["narrow"] > 0.95
-    tight = packing.pack(sizes, packs, max_segments=3, max_loss_share=0.5, shard=400).toPandas()
-    check(tight, {i: n for i, n, _ in rows}, 3, 0.5)
+    tight = packing.pack(sizes, packs, segment_tokens=600, max_loss_share=0.5, shard=400).toPandas()
+    check(tight, {i: n for i, n, _ in rows}, 600, 0.5)
+
+
+def test_limits_bind():
+    """Packing by tokens alone would put the first two, and all four of the second case, into one sequence."""
+    assert len(set(packing.pack_shard(np.array([5, 5]), np.array([5, 5]), 10, 9, 6.0))) == 2
+    assert len(set(packing.pack_shard(np.array([5, 5]), np.array([5, 1]), 10, 9, 6.0))) == 1
+    assert len(set(packing.pack_shard(np.array([2, 2, 2, 2]), np.array([0, 0, 0, 0]), 10, 2, 10.0))) == 2
+
+
+def test_registered_limits(spark, folder):
+    """Under the limits of the registered queries sequences are full, no limit is broken, and both other limits are met by some."""
+    from skeinworks.llm import queries
+
+    report = queries.p7_fill(spark, folder).collect()
+    assert report and all(r["segments_reached"] <= 1 and r["loss_reached"] <= 1 for r in report)
+    assert max(r["segments_reached"] for r in report) == 1 and max(r["loss_reached"] for r in report) > 0.97
 
 
 def test_exact_fit_beats_the_greedy_choice():
