@@ -6,21 +6,26 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skeinworks.operators.shred import TABLES, children, entity_table, rest, shred
+from skeinworks.operators.shred import TABLES, adjacency, children, entity_paths, entity_table, rest
+from skeinworks.plans.nested_sql import ORACLES
 from skeinworks.sources.tables import table
 
 
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
-    return children(shred(table(spark, folder, "raw_trajectories")))
+    return children(adjacency(table(spark, folder, "raw_trajectories")))
 
 
 def p2_rest(spark: SparkSession, folder: str) -> DataFrame:
-    return rest(shred(table(spark, folder, "raw_trajectories")))
+    nodes = adjacency(table(spark, folder, "raw_trajectories"))
+    return rest(nodes, entity_paths(nodes))
 
 
 def _flat(name: str) -> Callable[[SparkSession, str], DataFrame]:
-    entity, fields = TABLES[name]
-    return lambda spark, folder: entity_table(shred(table(spark, folder, "raw_trajectories")), entity, fields)
+    def run(spark: SparkSession, folder: str) -> DataFrame:
+        nodes = adjacency(table(spark, folder, "raw_trajectories"))
+        return entity_table(nodes, entity_paths(nodes), *TABLES[name])
+
+    return run
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -28,4 +33,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)
