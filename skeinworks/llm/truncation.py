@@ -20,13 +20,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from skeinworks.functions.draws import let
 from skeinworks.session import stash
 
 #: What may stand behind a cut (fixed values).
 MARK = r"(?is)(?<![\s.…])(?:\s*+(?:\.{2,}+|…|[\[(<{]\s*+(?:\.{2,}+|…|truncated|cut(?: off)?|snip(?:ped)?|more|continued|text truncated|output truncated|rest missing)\W{0,3}[\])>}]|-{2,}+\s*+(?:truncated|cut|more)\s*+-{2,}+))++\s*+$"
-#: Blanks at the end; like the marks they are looked for only where a run of them begins, however long it is.
-BLANKS = r"(?<![\s\p{Z}])[\s\p{Z}]++$"
-TOKEN = r"</?[a-z]\w*>|\d+(?:[.,:]\d+)*|[\p{L}\p{M}_][\p{L}\p{M}\p{N}_]*(?:['’][\p{L}\p{M}]+)*|[.!?…。]+|[\n\r]"
+#: White space, Unicode's too (fixed values).
+BLANKS = "\t\n\x0b\x0c\r \xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+TOKEN = r"</?[a-z]\w*+>|\d++(?:[.,:]\d++)*+|[\p{L}\p{M}_][\p{L}\p{M}\p{N}_]*+(?:['’][\p{L}\p{M}]++)*+|[.!?…。]++|[\n\r]"
 #: How far before the end words are looked up, how often they must occur (with the two words before them, with one),
 #: up to which share of endings they show a cut, and from which one a whole sentence.
 REACH, SUPPORT, CUT, WHOLE = 3, {3: 10, 2: 30}, 0.02, 0.5
@@ -36,41 +37,53 @@ PREFIX_SUPPORT = 3
 
 
 def body(text: Column) -> Column:
-    """``text`` without marks of a cut and blanks at its end."""
-    return F.regexp_replace(F.regexp_replace(F.regexp_replace(text, BLANKS, ""), MARK, ""), BLANKS, "")
+    """``text`` without marks of a cut and blanks at its end; the pattern is tried only where the last signs can be a mark's."""
+    trimmed = lambda t: F.rtrim(t, F.lit(BLANKS))
+    marked = lambda t: F.right(t, F.lit(1)).isin("…", "]", ")", ">", "}") | F.right(t, F.lit(2)).isin("..", "--")
+    return trimmed(let(trimmed(text), lambda t: F.when(marked(t), F.regexp_replace(t, MARK, "")).otherwise(t)))
 
 
 def sentences(text: Column) -> Column:
     """The sentences of ``text`` as arrays of words; the last one is empty where the text ends with the end of a sentence."""
+
+    def plain(token: Column) -> Column:
+        first = F.substring(token, 1, 1)
+        return F.when(first.between("0", "9"), "#").when(first.isin(".", "!", "?", "…", "。", "\n", "\r"), "\n").when(first == "<", "").otherwise(token)
+
     tokens = F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0))
-    marked = F.transform(tokens, lambda t: F.when(t.rlike(r"^<"), "").when(t.rlike(r"^\d"), "#").when(t.rlike(r"^[.!?…。\n\r]"), "\n").otherwise(t))
-    return F.transform(F.split(F.array_join(marked, " "), "\n", -1), lambda s: F.filter(F.split(F.trim(s), " "), lambda w: w != ""))
+    return F.transform(F.split(F.array_join(F.transform(tokens, plain), " "), "\n", -1), lambda s: F.filter(F.split(s, " "), lambda w: w != ""))
+
+
+def trigrams(words: Column) -> Column:
+    """Of every word: the hashes of the two words before it (``two``) and of the one (``one``), the word, how many follow."""
 
+    def all_of(before: Column) -> Column:
+        at = lambda w, i: F.struct(F.xxhash64(F.get(before, i), F.get(before, i + 1)).alias("two"), F.xxhash64(F.get(before, i + 1)).alias("one"), w.alias("word"), (F.size(words) - 1 - i).alias("after"))
+        return F.transform(words, at)
 
-def grams(words: Column) -> Column:
-    """Of every word, with the two words before it (``grade`` 3) and with one (2): their hash, the word, how many follow."""
-    n = F.size(words)
-    word = lambda i: F.when(i >= 0, F.get(words, i)).otherwise("^")
-    of = lambda grade, context, w, i: F.struct(F.lit(grade).alias("grade"), context.alias("context"), w.alias("word"), (n - 1 - i).alias("after"))
-    three = F.transform(words, lambda w, i: of(3, F.xxhash64(word(i - 2), word(i - 1)), w, i))
-    two = F.transform(words, lambda w, i: of(2, F.xxhash64(word(i - 1)), w, i))
-    return F.concat(three, two)
+    return let(F.concat(F.array(F.lit("^"), F.lit("^")), words), all_of)
 
 
 def truncated(documents: DataFrame, kept: list[str] | None = None) -> DataFrame:
     """The ``doc_id`` (and columns ``kept``) of every cut document with ``kind``: mid-sentence or mid-word."""
     kept = kept or []
-    read = documents.filter("text IS NOT NULL").select("doc_id", *kept, F.xxhash64("text").alias("copy"), body(F.col("text")).alias("body"))
-    each = read.select(F.explode(sentences(F.col("body"))).alias("s")).select(F.inline(grams(F.col("s"))))
+    # One pass over the texts.
+    said = documents.filter("text IS NOT NULL").select("doc_id", *kept, F.xxhash64("text").alias("copy"), sentences(body(F.col("text"))).alias("said"))
+    said = stash(said.withColumn("row", F.monotonically_increasing_id()), "sentences")
+    each = said.select(F.explode("said").alias("s")).select(F.inline(trigrams(F.col("s"))))
     ends = [F.count(F.when(F.col("after") == k, 1)).alias(f"end{k}") for k in range(REACH + 1)]
-    counts = stash(each.groupBy("grade", "context", "word").agg(F.count("*").alias("n"), *ends), "grams")
+    three = stash(each.groupBy("two", "one", "word").agg(F.count("*").alias("n"), *ends), "trigrams")
+    totals = ["n", *[f"end{k}" for k in range(REACH + 1)]]
+    two = stash(three.groupBy(F.col("one").alias("context"), "word").agg(*[F.sum(c).alias(c) for c in totals]), "bigrams")
+    counts = three.select(F.lit(3).alias("grade"), F.col("two").alias("context"), "word", *totals).unionByName(two.select(F.lit(2).alias("grade"), "context", "word", *totals))
 
     # A line break ends a sentence: the last one is in the last line.
-    line = F.regexp_extract("body", r"(?<![^\n\r])[^\n\r]*+$", 0)
-    last = read.withColumn("s", F.element_at(sentences(line), -1)).filter(F.size("s") > 0).select("doc_id", *kept, "copy", F.filter(grams(F.col("s")), lambda g: g["after"] <= REACH).alias("t"))
-    last = stash(last.withColumn("row", F.monotonically_increasing_id()), "endings")
+    last = said.withColumn("s", F.element_at("said", -1)).filter(F.size("s") > 0)
+    last = stash(last.select("row", "doc_id", *kept, "copy", F.filter(trigrams(F.col("s")), lambda g: g["after"] <= REACH).alias("t")), "endings")
     copies = last.groupBy("copy").agg(F.count("*").alias("own"))
-    asked = last.select("row", "copy", F.inline("t"))
+    asked = last.select("row", "copy", F.explode("t").alias("t"))
+    of = lambda grade, context: asked.select("row", "copy", F.lit(grade).alias("grade"), F.col(context).alias("context"), "t.word", "t.after")
+    asked = of(3, "t.two").unionByName(of(2, "t.one"))
     key = ["grade", "context"]
 
     # At every distance from the end: how often the words occur elsewhere, and how often sentences end as soon there.
@@ -95,7 +108,7 @@ def truncated(documents: DataFrame, kept: list[str] | None = None) -> DataFrame:
     prefixes = lambda w: F.transform(F.sequence(F.lit(1), F.length(w) - 1), lambda k: F.substring(w, F.lit(1), k))
     longer = there.filter("length(word) > 1").select(*key, F.explode(prefixes(F.col("word"))).alias("prefix"), "n")
     longer = longer.join(wanted, [*key, "prefix"]).groupBy(*key, "prefix").agg(F.sum("n").alias("longer"))
-    words = counts.filter("grade = 2").groupBy("word").agg(F.sum("n").alias("n"))
+    words = two.groupBy("word").agg(F.sum("n").alias("n"))
     starts = words.filter("length(word) > 1").select(F.explode(prefixes(F.col("word"))).alias("prefix"), "n")
     anywhere = ending.select(F.col("word").alias("prefix")).distinct().join(starts, "prefix").groupBy("prefix").agg(F.sum("n").alias("starts"))
     known = anywhere.join(words.withColumnRenamed("word", "prefix").withColumnRenamed("n", "known"), "prefix", "left")
