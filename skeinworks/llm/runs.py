@@ -182,20 +182,28 @@ def canonical(batches: Iterator) -> Iterator:
 TASK_ROWS, MOST_TASKS = 50_000, 20_000
 
 
+def by_group(events: DataFrame, rows: int | None) -> DataFrame:
+    """``events`` partitioned by (session, part); where their number is known, into as many tasks as that takes."""
+    if rows is None:
+        return events.repartition("session", "part")
+    usual = int(events.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return events.repartition(max(usual, min(MOST_TASKS, -(-rows // TASK_ROWS))), "session", "part")
+
+
 def canonical_events(events: DataFrame, order: list[str], rows: int | None = None) -> DataFrame:
-    """``events`` with ``value``; groups (session, part) are streamed through, never collected. ``rows``: about how many there are."""
+    """``events`` with ``value``; groups (session, part) are streamed through, never collected."""
     from pyspark.sql import types as T
 
     first = ["session", "part", "kind", "text", "tag"]
     rest = [c for c in events.columns if c not in first]
     schema = T.StructType([events.schema[c] for c in [*first, *rest]] + [T.StructField("value", T.LongType())])
-    tasks = max(int(events.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(MOST_TASKS, -(-rows // TASK_ROWS))) if rows else None
-    placed = (events.repartition(tasks, "session", "part") if tasks else events.repartition("session", "part")).sortWithinPartitions("session", "part", *order)
+    placed = by_group(events, rows).sortWithinPartitions("session", "part", *order)
     return placed.select(*first, *rest).mapInArrow(canonical, schema)
 
 
-def islands(events: DataFrame, order: list[str]) -> DataFrame:
+def islands(events: DataFrame, order: list[str], rows: int | None = None) -> DataFrame:
     """``island``: the row number in the group less that among rows of the same value; equal within a run of a value."""
+    events = by_group(events, rows)
     within = Window.partitionBy("session", "part").orderBy(*order)
     of_value = Window.partitionBy("session", "part", "value").orderBy(*order)
     return events.withColumn("place", F.row_number().over(within)).withColumn("island", F.col("place") - F.row_number().over(of_value))
@@ -219,7 +227,8 @@ def event_runs(log: DataFrame) -> DataFrame:
         "seq",
         "logged_at",
     )
-    marked = islands(canonical_events(kept, ["seq", "tag"], log.count()), ["seq", "tag"])
+    rows = log.count()
+    marked = islands(canonical_events(kept, ["seq", "tag"], rows), ["seq", "tag"], rows)
     runs = marked.groupBy("session", "part", "value", "island").agg(
         F.min("place").alias("place"),
         F.min("kind").alias("kind"),
