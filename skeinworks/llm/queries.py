@@ -21,6 +21,28 @@ def p1_splits(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("traj_no", "component", "split", "status")
 
 
+def p1_together(spark: SparkSession, folder: str) -> DataFrame:
+    """Trajectories, their episodes, and how many of these the assigned splits divide."""
+    rows = p1_splits(spark, folder).groupBy("component").agg(F.count("*").alias("n"), F.count_distinct("split").alias("splits"))
+    return rows.agg(F.sum("n").alias("trajectories"), F.count("*").alias("episodes"), F.count(F.when(F.col("splits") > 1, 1)).alias("divided"))
+
+
+def p1_readings(spark: SparkSession, folder: str) -> DataFrame:
+    return splits.readings(table(spark, folder, "trajectories"))
+
+
+def in_two_loads(rows: DataFrame) -> list[DataFrame]:
+    """What arrived in the first half of the time, and the rest."""
+    seconds = F.unix_timestamp(F.col("loaded_at").cast("timestamp"))
+    half = rows.agg(((F.min(seconds) + F.max(seconds)) / 2).alias("half")).first()["half"] or 0
+    early = F.coalesce(seconds <= half, F.lit(True))
+    return [rows.filter(early), rows.filter(~early)]
+
+
+def p1_incremental(spark: SparkSession, folder: str) -> DataFrame:
+    return splits.load_by_load(in_two_loads(table(spark, folder, "trajectories")), table(spark, folder, "split_targets"))
+
+
 def p3_token_budget(spark: SparkSession, folder: str) -> DataFrame:
     return token_budget.token_budget(table(spark, folder, "trajectories"), table(spark, folder, "documents"))
 
@@ -43,11 +65,8 @@ def p4_terms(spark: SparkSession, folder: str) -> DataFrame:
 
 def p4_merged(spark: SparkSession, folder: str) -> DataFrame:
     """The same terms from two loads, what arrived in the first half of the time and the rest, merged."""
-    rows = table(spark, folder, "trajectories")
-    seconds = F.unix_timestamp(F.col("loaded_at").cast("timestamp"))
-    half = rows.agg(((F.min(seconds) + F.max(seconds)) / 2).alias("half")).first()["half"] or 0
-    early = F.coalesce(seconds <= half, F.lit(True))
-    return terms.marked(terms.merged_loads([rows.filter(early), rows.filter(~early)]), table(spark, folder, "vocab"))
+    loads = in_two_loads(table(spark, folder, "trajectories"))
+    return terms.marked(terms.merged_loads(loads), table(spark, folder, "vocab"))
 
 
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -100,7 +119,7 @@ def p10_by_source(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: list[Callable[[SparkSession, str], DataFrame]] = [
-    p1_found, p1_splits, p3_token_budget, p3_record_tokens, p4_found, p4_terms, p4_merged, p5_found, p5_runs, p6_found, p6_classes, p6_overlaps,
+    p1_found, p1_splits, p1_together, p1_readings, p1_incremental, p3_token_budget, p3_record_tokens, p4_found, p4_terms, p4_merged, p5_found, p5_runs, p6_found, p6_classes, p6_overlaps,
     p7_packing, p7_fill, p8_ids, p9_selection, p9_shares, p10_found, p10_by_source,
 ]
 

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from skeinworks.functions.words import SPLIT_NAMES, WORD_SQL
-from skeinworks.llm.splits import WRITINGS
 
 #: Terms of trajectories, each trajectory once, and the entries of the vocabulary.
 TERMS = f"""
@@ -38,24 +37,28 @@ ORACLES = {
 SPLIT = "CASE " + " ".join(f"WHEN regexp_replace(lower(split), '[^a-z]', '', 'g') IN ({', '.join(map(repr, spelt))}) THEN '{to}'" for to, spelt in SPLIT_NAMES.items()) + " END"
 
 
-def part_of(group: int) -> str:
-    """A part of the trajectory id by the first writing that fits."""
-    whens = []
-    for pattern, *groups in WRITINGS:
-        value = f"regexp_extract(trim(trajectory_id), '{pattern}', {groups[group]})" if groups[group] else "NULL"
-        whens.append(f"WHEN regexp_matches(trim(trajectory_id), '{pattern}') THEN {value}")
-    return f"CASE {' '.join(whens)} END"
-
-
 def bare(value: str) -> str:
     return f"nullif(regexp_replace(lower({value}), '[^\\p{{L}}\\p{{N}}]', '', 'g'), '')"
 
 
-#: Trajectories of episodes that stand in several splits; an unknown environment is that of the only episode with the same goal.
-ORACLES["p1_found"] = f"""
-WITH parts AS (
-  SELECT DISTINCT traj_no, {SPLIT} AS given, coalesce({bare(part_of(0))}, {bare('env')}) AS env, {bare(part_of(1))} AS task, {part_of(2)} AS variation, coalesce({bare('goal')}, '') AS goal
-  FROM trajectories WHERE traj_no IS NOT NULL
+#: Episodes without a list of writings: the number that counts no attempt, and the letters without the words around numbers and
+#: without the name of one of the environments at either end. An unknown environment is that of the only episode with the same goal.
+EPISODES = f"""
+WITH rows AS (
+  SELECT DISTINCT traj_no, {SPLIT} AS given, {bare('env')} AS env, coalesce({bare('goal')}, '') AS goal, trim(trajectory_id) AS id FROM trajectories WHERE traj_no IS NOT NULL
+), environments AS (
+  SELECT DISTINCT env AS name FROM rows WHERE env IS NOT NULL
+), spaced AS (
+  SELECT *, lower(regexp_replace(id, '([a-z])([A-Z])', '\\1 \\2', 'g')) AS words, regexp_extract_all(id, '[0-9]+') AS numbers FROM rows
+), lettered AS (
+  SELECT *, CASE WHEN words LIKE 'run %' THEN numbers[2] ELSE numbers[1] END::bigint AS variation,
+    regexp_replace(regexp_replace(regexp_replace(words, '[^a-z]+', ' ', 'g'), '\\b(attempt|try|run|of|var|v|a)\\b', '', 'g'), ' +', '', 'g') AS letters
+  FROM spaced
+), named AS (
+  SELECT l.*, e.name, CASE WHEN e.name IS NULL THEN letters WHEN starts_with(letters, e.name) THEN substr(letters, length(e.name) + 1) ELSE left(letters, length(letters) - length(e.name)) END AS task
+  FROM lettered l LEFT JOIN environments e ON starts_with(l.letters, e.name) OR ends_with(l.letters, e.name)
+), parts AS (
+  SELECT traj_no, given, goal, coalesce(name, env) AS env, CASE WHEN variation IS NULL OR task = '' THEN NULL ELSE task END AS task, variation FROM named
 ), known AS (
   SELECT task, variation, goal, min(env) AS env FROM parts WHERE task IS NOT NULL AND env IS NOT NULL GROUP BY ALL HAVING count(DISTINCT env) = 1
 ), keyed AS (
@@ -63,5 +66,6 @@ WITH parts AS (
     ELSE concat_ws('|', 'episode', coalesce(p.env, k.env), p.task, p.variation) END AS key
   FROM parts p LEFT JOIN known k ON p.env IS NULL AND p.task = k.task AND p.variation = k.variation AND p.goal = k.goal
 )
-SELECT DISTINCT traj_no FROM keyed WHERE given IS NOT NULL AND key IN (SELECT key FROM keyed WHERE given IS NOT NULL GROUP BY key HAVING count(DISTINCT given) > 1)
 """
+ORACLES["p1_found"] = EPISODES + "SELECT DISTINCT traj_no FROM keyed WHERE given IS NOT NULL AND key IN (SELECT key FROM keyed WHERE given IS NOT NULL GROUP BY key HAVING count(DISTINCT given) > 1)"
+ORACLES["p1_together"] = EPISODES + "SELECT count(DISTINCT traj_no) AS trajectories, count(DISTINCT key) AS episodes, 0::bigint AS divided FROM keyed"

@@ -22,7 +22,19 @@ def targets(spark):
 def test_writings_name_one_episode(spark, writing):
     parts = splits.episode(F.lit(writing), F.lit("Kiln hall "))
     row = spark.range(1).select(*[c.alias(k) for k, c in parts.items()]).collect()[0]
-    assert tuple(row) == ("kilnhall", "meltwax", "8")
+    assert tuple(row) == ("kilnhall", "meltwax", "8", "known")
+
+
+@pytest.mark.parametrize("writing", ["kilnhall~melt wax~00008~trial 3", "attempt 4 | melt-wax 8 | Kiln Hall", "MELT+WAX+v8+KILNHALL+run 2", "Kiln-hall, melt wax, variation 8 (#11)"])
+def test_other_writings_are_read_by_numbers_and_letters(spark, writing):
+    parts = splits.episode(F.lit(writing), F.lit("Kiln hall "))
+    row = spark.range(1).select(*[c.alias(k) for k, c in parts.items()]).collect()[0]
+    assert tuple(row) == ("kilnhall", "meltwax", "8", "general")
+
+
+def test_readings(spark, make):
+    rows = [(i, w, "kilnhall", None, "g", None) for i, w in enumerate([*WRITINGS, "melt wax no 8", "???", None, ""])]
+    assert {r["reading"]: r["trajectories"] for r in splits.readings(make.trajectories(rows)).collect()} == {"known": 7, "general": 1, "none": 3}
 
 
 def test_divided_episodes(spark, make):
@@ -55,28 +67,54 @@ def test_no_episode_is_divided_and_shares_are_met(spark, make, targets):
     assert abs(share["train"] - 0.8) < 0.02 and abs(share["test"] - 0.1) < 0.02
     kept = frame[frame.status == "kept"]
     assert len(kept) and (kept.given.isna() | (kept.given == kept.split)).all()
-    assert state.count() == frame.component.nunique()
+    assert state.components.count() == frame.component.nunique()
 
 
-def test_state_is_kept_and_merges_are_quarantined(spark, make, targets):
+def test_state_is_kept_and_merges_are_quarantined(spark, make, targets, tmp_path):
     first = [(1, "env/a/1/run-1", None, "train", "g", None), (2, "b-2-attempt1", None, "test", "h", None), (3, "env/c/3/run-1", None, None, "i", None)]
     out, state = splits.assign_splits(make.trajectories(first), targets)
     before = {r["traj_no"]: r["split"] for r in out.collect()}
     assert before[1] == "train" and before[2] == "test"
     second = [(4, "env/a/1/run-2", None, "test", "g", None), (5, "env/c/3/run-9", None, "validation", "i", None), (6, "env/d/4/run-1", None, None, "j", None)]
-    out, state2 = splits.assign_splits(make.trajectories(second), targets, state)
+    folder = str(tmp_path / "state")
+    splits.write_state(state, folder)
+    out, state2 = splits.assign_splits(make.trajectories(second), targets, splits.read_state(spark, folder))
     after = {r["traj_no"]: (r["split"], r["status"]) for r in out.collect()}
     assert after[4] == ("train", "kept") and after[5] == (before[3], "kept") and after[6][1] == "filled"
-    assert state2.count() == 4
+    assert state2.components.count() == 4 and {r["key"]: r["n"] for r in state2.components.collect()}["episode|env|a|1"] == 2
     # A link joins two keys that stand in different splits: quarantined, whole, in one of the two.
-    known = spark.createDataFrame([("goal|b|2|x", "goal|b|2|x", "test", "kept"), ("episode|env|b|2", "goal|b|2|x", "train", "kept")], splits.STATE)
-    out, table = splits.assign_splits(make.trajectories([(9, "env/b/2/run-1", None, None, "h", None)]), targets, known)
+    like = splits.keyed_records(make.trajectories([(9, "b-2-attempt7", None, None, "h", None)])).first()["key"]
+    known = splits.State(
+        spark.createDataFrame([(like, like, "test", "kept", 5), ("episode|env|b|2", "episode|env|b|2", "train", "kept", 9), ("x", "x", "train", "kept", 1)], splits.STATE),
+        spark.createDataFrame([], splits.LIKES),
+    )
+    out, after = splits.assign_splits(make.trajectories([(9, "env/b/2/run-1", None, None, "h", None)]), targets, known)
     assert [tuple(r) for r in out.select("traj_no", "status").collect()] == [(9, "quarantined")]
-    assert {r["split"] for r in table.collect()} <= {"train", "test"} and table.select("split").distinct().count() == 1
+    table = {r["key"]: (r["component"], r["split"], r["status"], r["n"]) for r in after.components.collect()}
+    assert table[like][:3] == table["episode|env|b|2"][:3] and table["episode|env|b|2"][3] == 10 and table["x"] == ("x", "train", "kept", 1)
+
+
+def test_an_attempt_finds_its_episode_in_an_earlier_load(spark, make, targets):
+    """Without an environment, in whichever of the two it comes."""
+    with_env, without = ("kilnhall/melt_wax/8/run-1", "kilnhall"), ("melt-wax-8-attempt4", None)
+    for one, two in ((with_env, without), (without, with_env)):
+        loads = [make.trajectories([(1, *one, "test", "g", None)]), make.trajectories([(2, *two, "train", "g", None), (1, *one, "test", "g", None)])]
+        got = {r["traj_no"]: (r["load"], r["component"], r["split"], r["status"]) for r in splits.load_by_load(loads, targets).collect()}
+        assert got[1][2:] == ("test", "kept") and got[2][2:] == ("test", "kept") and (got[1][0], got[2][0]) == (0, 1)
+
+
+def test_a_later_load_fills_what_an_earlier_one_left_short(spark, make, targets):
+    first = [(i, f"env/t/{i}/run-1", "env", "train" if i < 50 else "test", f"g{i}", None) for i in range(100)]
+    second = [(1000 + i, f"env/t/{1000 + i}/run-1", "env", None, f"h{i}", None) for i in range(150)]
+    got = splits.load_by_load([make.trajectories(first), make.trajectories(second)], targets).toPandas()
+    assert (got[got.load == 0].status == "kept").all()
+    # 250 records: train lacks 150, validation 25, and test has twice its share already; the 150 leave both equally short.
+    later = got[got.load == 1].split.value_counts()
+    assert later.get("test", 0) == 0 and abs(later["train"] - 137.5) <= 1 and abs(later["validation"] - 12.5) <= 1
 
 
 def test_edges(spark, make, targets):
     out, state = splits.assign_splits(make.trajectories([]), targets)
-    assert out.count() == 0 and state.count() == 0
+    assert out.count() == 0 and state.components.count() == 0 and state.likes.count() == 0
     out, _ = splits.assign_splits(make.trajectories([(1, None, None, None, None, None), (2, "x" * 100_000, "", "", "", None)]), targets.filter("false"))
     assert {r["split"] for r in out.collect()} == {"train"}
