@@ -96,16 +96,19 @@ def span_masks(ratio: Column, u: Column) -> Column:
 
 def block_masks(rate: Column, draw: Callable[[Column], Column]) -> Column:
     """Every token but those of the goal with probability ``rate``; the one with the least draw where none was drawn."""
-    eligible = F.filter("tok", lambda t: t["btype"] != GOAL)
-    drawn = F.transform(eligible, lambda t: F.struct(draw(t["pos"]).alias("u"), t["pos"].alias("pos")))
+    # One draw per token, null for those of the goal.
+    def draws(p: Params) -> dict[str, Column]:
+        return {"u": F.transform("tok", lambda t: F.when(t["btype"] != GOAL, draw(t["pos"])))}
 
     def least(p: Params) -> dict[str, Column]:
+        drawn = F.filter(F.zip_with("tok", p["u"], lambda t, u: F.struct(u.alias("u"), t["pos"].alias("pos"))), lambda d: d["u"].isNotNull())
         return {"least": F.array_min(drawn)}
 
     def body(p: Params) -> Column:
-        return masks_of(mask(lambda t: (t["btype"] != GOAL) & ((draw(t["pos"]) < rate) | ((p["least"]["u"] >= rate) & (t["pos"] == p["least"]["pos"])))))
+        hit = lambda t, u: F.coalesce((u < rate) | ((p["least"]["u"] >= rate) & (t["pos"] == p["least"]["pos"])), F.lit(False)) & u.isNotNull()
+        return masks_of(F.zip_with("tok", p["u"], hit))
 
-    return bound([least], body)
+    return bound([draws, least], body)
 
 
 # The first generation.

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,12 +14,14 @@ from skeinworks.functions.draws import pick, uniform
 from skeinworks.functions.words import split_name
 from skeinworks.operators import batches, checks, examples, losses, manifest, masks, names, sampling, vocabulary
 from skeinworks.schema import BIDIRECTIONAL_OBJECTIVES, CAUSAL_OBJECTIVES, OBJECTIVES, PAD_ID
-from skeinworks.session import stash
+from skeinworks.session import shared_dir, stash
+from skeinworks.sources import documents
 from skeinworks.sources.tables import table
-from skeinworks.sources.trajectories import delivered_once, load_trajectories
+from skeinworks.sources.trajectories import delivered_once, load_trajectories, read_jsonl, shaped
 
-#: Parameters of the queries, the same in the SQL.
-MAX_LEN, SHORT, RATE, VOCABULARY, STEPS, BATCH, SEED = 1024, 256, 0.2, 500, 24, 4, 0
+#: Parameters of the queries, the same in the SQL: the length beyond which examples are dropped, that to which the first generation cuts them,
+#: a short one to show both policies; the sampled runs have ``STEPS`` steps of ``BATCH`` examples and ``VAL_BATCHES`` batches of validation.
+MAX_LEN, V1_LEN, SHORT, RATE, VOCABULARY, STEPS, BATCH, VAL_BATCHES, SEED = 8192, 1024, 256, 0.2, 16_000, 24, 4, 3, 0
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -43,6 +46,10 @@ def fitting(spark: SparkSession, d: str) -> DataFrame:
     return examples.not_overlong(every(spark, d), MAX_LEN)
 
 
+def cut_v1(spark: SparkSession, d: str) -> DataFrame:
+    return examples.truncated(every(spark, d), V1_LEN)
+
+
 def train(spark: SparkSession, d: str) -> DataFrame:
     return load_trajectories(spark, d).filter("split = 'train'")
 
@@ -162,7 +169,7 @@ def last_obs_step(spark, d):
 
 def _v1(objective: str) -> Query:
     def run(spark, d):
-        rows = masks.with_mask_v1(fitting(spark, d), objective, F.lit(RATE), SEED)
+        rows = masks.with_mask_v1(cut_v1(spark, d), objective, F.lit(RATE), SEED)
         return masks.mask_summary(rows, "fell_back")
 
     return run
@@ -219,34 +226,32 @@ def achieved_rate(spark, d):
 # Plans and schedules.
 
 
-def train_examples(spark, d) -> DataFrame:
-    return fitting(spark, d).filter("split = 'train'")
-
-
-def train_count(spark, d) -> tuple[DataFrame, int]:
-    """The training examples, written once, and their number: a plan of steps refers to them by number."""
-    rows = stash(train_examples(spark, d), "examples")
+def numbered(spark, d, split: str) -> tuple[DataFrame, int]:
+    """The ``traj_no`` of the fitting examples of a split, written once, and how many: a plan of steps refers to them by number."""
+    rows = examples.lengths(load_trajectories(spark, d).filter(F.col("split") == split))
+    rows = stash(examples.not_overlong(rows, MAX_LEN).select("traj_no"), "numbers")
     return rows, rows.count()
 
 
-def drawn_examples(plan: DataFrame, rows: DataFrame, vocab: DataFrame | None = None) -> DataFrame:
-    """The examples of a plan; only those that it draws are encoded, each once."""
-    picked = stash(sampling.sampled(plan, rows), "plan")
-    if vocab is not None:
-        rows = vocabulary.with_ids(rows.join(picked.select("traj_no").distinct(), "traj_no", "left_semi"), vocab)
-    return picked.join(rows, "traj_no")
+def drawn_examples(plan: DataFrame, numbers: DataFrame, d: str, vocab: DataFrame | None = None, cut: int | None = None) -> DataFrame:
+    """The examples of a plan; only those that it draws are flattened, cut and encoded, each once. A plan has as many rows as its steps have slots."""
+    spark = plan.sparkSession
+    picked = stash(sampling.sampled(plan, numbers), "plan")
+    rows = examples.all_examples(load_trajectories(spark, d).join(F.broadcast(picked.select("traj_no").distinct()), "traj_no", "left_semi"))
+    rows = examples.truncated(rows, cut) if cut else rows
+    return picked.join(vocabulary.with_ids(rows, vocab) if vocab is not None else rows, "traj_no")
 
 
 @query
 def sample_with_replacement(spark, d):
-    rows, n = train_count(spark, d)
+    rows, n = numbered(spark, d, "train")
     plan = sampling.with_replacement(spark, n, STEPS, BATCH, SEED)
     return whole(sampling.sampled(plan, rows).select("train_step", "slot", "traj_no"))
 
 
 @query
 def sample_without_replacement(spark, d):
-    rows, n = train_count(spark, d)
+    rows, n = numbered(spark, d, "train")
     plan = sampling.without_replacement(spark, n, STEPS, BATCH, SEED)
     return whole(sampling.sampled(plan, rows).select("train_step", "slot", "traj_no"))
 
@@ -282,8 +287,8 @@ def noise_weights(spark, d):
 # Corruption and batches.
 
 
-def coded(spark, d) -> DataFrame:
-    return vocabulary.with_ids(train_examples(spark, d), table(spark, d, "vocab"))
+def coded(spark, d, cut: bool = False) -> DataFrame:
+    return vocabulary.with_ids(cut_v1(spark, d) if cut else fitting(spark, d), table(spark, d, "vocab"))
 
 
 def positions(rows: DataFrame, *keep: str) -> DataFrame:
@@ -311,10 +316,10 @@ def positions(rows: DataFrame, *keep: str) -> DataFrame:
 
 def corrupted_batches_v1(spark, d) -> DataFrame:
     """One objective per step, rows with replacement, a noise level per row."""
-    rows, n = train_count(spark, d)
+    rows, n = numbered(spark, d, "train")
     plan = sampling.with_replacement(spark, n, STEPS, BATCH, SEED)
     p = schedules.progress(F.col("train_step"), STEPS)
-    drawn = drawn_examples(plan, rows, table(spark, d, "vocab"))
+    drawn = drawn_examples(plan, rows, d, table(spark, d, "vocab"), V1_LEN)
     drawn = drawn.withColumn("objective", schedules.drawn_objective(p, uniform(SEED, "objective", F.col("train_step"))))
     salt = F.concat_ws(".", "train_step", "slot")
     masked = masks.with_masks(drawn, masks.by_objective(OBJECTIVES, lambda name: masks.masks_v1(name, schedules.target_ratio(p), SEED, salt)["m"]))
@@ -324,16 +329,16 @@ def corrupted_batches_v1(spark, d) -> DataFrame:
 
 def corrupted_batches_v2(spark, d, objective_set: str = "d_flex") -> DataFrame:
     """Different rows per step, an objective per row, a rate that changes with progress."""
-    rows, n = train_count(spark, d)
+    rows, n = numbered(spark, d, "train")
     plan = sampling.without_replacement(spark, n, STEPS, BATCH, SEED)
     rate = schedules.mask_rate(schedules.progress(F.col("train_step"), STEPS), 0.1, 0.6)
-    drawn = drawn_examples(plan, rows, table(spark, d, "vocab")).withColumn("rate", rate)
+    drawn = drawn_examples(plan, rows, d, table(spark, d, "vocab")).withColumn("rate", rate)
     return batches.corrupted_v2(masks.with_drawn_mask_v2(drawn, objective_set, F.col("rate"), SEED, F.col("train_step")))
 
 
 @query
 def corrupt_v1(spark, d):
-    masked = masks.with_mask_v1(coded(spark, d), "next_observation", F.lit(RATE), SEED)
+    masked = masks.with_mask_v1(coded(spark, d, True), "next_observation", F.lit(RATE), SEED)
     return positions(batches.corrupted_v1(masked, F.lit(0.3), SEED), "traj_no")
 
 
@@ -345,13 +350,13 @@ def corrupt_v2(spark, d):
 
 @query
 def pad_static(spark, d):
-    masked = masks.with_mask_v2(coded(spark, d), "suffix", F.lit(RATE), SEED)
-    return positions(batches.padded(batches.corrupted_v2(masked), F.lit(MAX_LEN), PAD_ID), "traj_no")
+    masked = masks.with_mask_v2(coded(spark, d, True), "suffix", F.lit(RATE), SEED)
+    return positions(batches.padded(batches.corrupted_v2(masked), F.lit(V1_LEN), PAD_ID), "traj_no")
 
 
 @query
 def batch_v1(spark, d):
-    rows = batches.padded(corrupted_batches_v1(spark, d), F.lit(MAX_LEN))
+    rows = batches.padded(corrupted_batches_v1(spark, d), F.lit(V1_LEN))
     return whole(positions(rows.withColumn("t", F.round("t", 6)), "train_step", "slot", "traj_no", "objective", "t"))
 
 
@@ -361,15 +366,43 @@ def pad_dynamic(spark, d):
     return whole(positions(rows, "train_step", "slot", "traj_no", "objective"))
 
 
+def next_observations(spark, d, steps: int) -> DataFrame:
+    """Per step up to ``BATCH`` validation examples that have a last observation, from three times as many drawn; ``place`` counts them."""
+    numbers, n = numbered(spark, d, "validation")
+    plan = sampling.without_replacement(spark, n, steps, 3 * BATCH, SEED)
+    masked = masks.with_mask_v2(drawn_examples(plan, numbers, d, table(spark, d, "vocab")), "next_obs", F.lit(RATE), SEED).filter("tgt IS NOT NULL")
+    order = sampling.Window.partitionBy("train_step").orderBy("slot")
+    return masked.withColumn("place", F.row_number().over(order) - 1).filter(F.col("place") < BATCH)
+
+
 @query
 def nextobs_batch(spark, d):
-    """Up to ``BATCH`` validation examples that have a last observation, from three times as many drawn."""
-    rows = stash(fitting(spark, d).filter("split = 'validation'"), "examples")
-    plan = sampling.without_replacement(spark, rows.count(), 1, 3 * BATCH, SEED)
-    masked = masks.with_mask_v2(drawn_examples(plan, rows, table(spark, d, "vocab")), "next_obs", F.lit(RATE), SEED).filter("tgt IS NOT NULL")
-    order = sampling.Window.partitionBy("train_step").orderBy("slot")
-    kept = masked.withColumn("place", F.row_number().over(order) - 1).filter(F.col("place") < BATCH)
-    return whole(positions(batches.padded_to_longest(batches.corrupted_v2(kept), MAX_LEN), "place", "traj_no"))
+    """The shared batch of the next observation."""
+    return whole(positions(batches.padded_to_longest(batches.corrupted_v2(next_observations(spark, d, 1)), MAX_LEN), "place", "traj_no"))
+
+
+@query
+def batch_objectives(spark, d):
+    """Per step: examples, different ones, their objectives, the rate aimed at and the one reached."""
+    rows = corrupted_batches_v2(spark, d)
+    eligible = F.size(F.filter("btypes", lambda b: b != 1))
+    scored = F.size(F.filter("scored", lambda b: b))
+    steps = rows.groupBy("train_step").agg(
+        F.count("*").alias("examples"),
+        F.count_distinct("traj_no").alias("different"),
+        F.array_join(F.array_sort(F.collect_set("objective")), ",").alias("objectives"),
+        F.round(F.first("rate"), 6).alias("target"),
+        F.round(F.sum(scored) / F.greatest(F.sum(eligible), F.lit(1)), 6).alias("achieved"),
+    )
+    return whole(steps)
+
+
+@query
+def examples_subword(spark, d):
+    """Examples over another tokenizer than words: bytes, by blocks and tokens of every trajectory."""
+    rows = examples.all_examples(load_trajectories(spark, d), tokenizer=examples.byte_tokens).filter("n > 0")
+    digest = F.md5(F.array_join(F.transform("tok", lambda t: t["token"]), ""))
+    return whole(rows.select("traj_no", "n", (F.element_at("tok", -1)["bidx"] + 1).alias("blocks"), digest.alias("digest")))
 
 
 @query
@@ -383,9 +416,9 @@ def masked_preview(spark, d):
 
 def token_losses(spark, d) -> DataFrame:
     """Token rows of ``STEPS`` batches under the suffix mask; ``nll`` is a keyed draw."""
-    rows, n = train_count(spark, d)
+    rows, n = numbered(spark, d, "train")
     plan = sampling.with_replacement(spark, n, STEPS, BATCH, SEED)
-    masked = masks.with_mask_v2(drawn_examples(plan, rows), "suffix", F.lit(RATE), SEED)
+    masked = masks.with_mask_v2(drawn_examples(plan, rows, d), "suffix", F.lit(RATE), SEED)
     objective = pick(F.array(*map(F.lit, BIDIRECTIONAL_OBJECTIVES)), uniform(SEED, "slot.objective", F.col("train_step"), F.col("slot")))
     t = schedules.noise_level(uniform(SEED, "t", F.col("train_step"), F.col("slot")))
     token = F.zip_with("tok", "tgt", lambda x, b: F.struct(x["pos"].alias("pos"), x["btype"].alias("btype"), b.alias("scored")))
@@ -413,10 +446,30 @@ def accum_mean(spark, d):
     return whole(losses.accumulated_loss(token_losses(spark, d), 2).select("train_step", F.round("loss", 6).alias("loss")))
 
 
+def mean_of_batches(tokens: DataFrame) -> DataFrame:
+    """The mean over batches of the plain loss, as one number; not a number where there is no batch."""
+    steps = losses.masked_loss(tokens, ["train_step"], False)
+    return steps.agg(F.round(F.coalesce(F.avg("loss"), F.lit(float("nan"))), 6).alias("val_loss"))
+
+
+def scored_tokens(masked: DataFrame) -> DataFrame:
+    """Token rows of masked examples with a keyed ``nll``."""
+    flat = masked.select("train_step", "traj_no", F.inline(F.zip_with("tok", "tgt", lambda x, b: F.struct(x["pos"].alias("pos"), b.alias("scored")))))
+    return flat.withColumn("nll", F.lit(6.0) * uniform(SEED, "val.nll", F.col("train_step"), F.col("traj_no"), F.col("pos")))
+
+
 @query
 def validation_mean(spark, d):
-    """The mean over batches of the plain loss, as one number."""
-    return step_losses(spark, d).agg(F.round(F.avg("loss"), 6).alias("val_loss"))
+    """The loss on ``VAL_BATCHES`` batches of the validation split, each example under an objective of its own."""
+    numbers, n = numbered(spark, d, "validation")
+    plan = sampling.without_replacement(spark, n, VAL_BATCHES, BATCH, SEED)
+    return mean_of_batches(scored_tokens(masks.with_drawn_mask_v2(drawn_examples(plan, numbers, d), "d_flex", F.lit(RATE), SEED, F.col("train_step"))))
+
+
+@query
+def validation_nextobs(spark, d):
+    """The loss on the last observations of ``VAL_BATCHES`` batches of the validation split; batches without any do not count."""
+    return mean_of_batches(scored_tokens(next_observations(spark, d, VAL_BATCHES)))
 
 
 @query
@@ -526,8 +579,7 @@ def splits_loaded(spark, d):
 @query
 def name_extract(spark, d):
     """Distinct ``node-`` names in the documents."""
-    found = table(spark, d, "documents").select(F.explode(F.regexp_extract_all("text", F.lit(r"node-([a-z]+)"), F.lit(1))).alias("name"))
-    return found.distinct()
+    return documents.class_names(table(spark, d, "documents"), r"node-([a-z]+)")
 
 
 @query
@@ -537,6 +589,73 @@ def leaf_segments(spark, d):
     return names.leaf_names(dotted, "name", ["attempt", "run"], ["try"]).select(F.array_join("leaves", ",").alias("leaves"))
 
 
+# Sources and sinks: what is written to the shared folder is read back.
+
+
+def place(spark, name: str) -> str:
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@query
+def jsonl_examples(spark, d):
+    """The examples of a JSONL dump of the trajectories."""
+    once = delivered_once(table(spark, d, "trajectories"))
+    line = F.struct(F.col("traj_no").cast("string").alias("trajectory_id"), "env", "split", "goal", "blocks", F.try_parse_json("leakage_flags").alias("leakage_flags"))
+    path = place(spark, "jsonl")
+    once.select(F.to_json(line).alias("value")).write.text(path)
+    rows = shaped(read_jsonl(spark, path).withColumn("traj_no", F.col("trajectory_id").cast("long")))
+    return whole(examples.lengths(rows))
+
+
+@query
+def vocabulary_round_trip(spark, d):
+    path = place(spark, "vocabulary")
+    documents.write_vocabulary(train_vocabulary(spark, d), path)
+    return whole(documents.read_vocabulary(spark, path))
+
+
+@query
+def document_keys(spark, d):
+    """The entries of a JSON document whose key speaks of masks or token ids."""
+    path = place(spark, "config")
+    one = table(spark, d, "vocab").agg(F.count("*").alias("vocab_size"), (F.max("id") + 1).alias("mask_token_id"), F.lit(0).alias("pad_token_id"), F.min("id").alias("MaskFrom"))
+    one.select(F.to_json(F.struct("*")).alias("value")).write.text(path)
+    found = documents.read_document(spark, path).select(F.explode(documents.matching_keys(F.col("document"))).alias("key", "value"))
+    return found
+
+
+@query
+def class_list(spark, d):
+    """The names of classes in source files."""
+    path = place(spark, "sources")
+    table(spark, d, "vocab").select(F.concat(F.lit("class "), "token", F.lit(":")).alias("value")).write.text(path)
+    return documents.class_names(documents.read_texts(spark, f"{path}/*"))
+
+
+@query
+def metrics_document(spark, d):
+    path = place(spark, "metrics")
+    totals = load_trajectories(spark, d).agg(F.count("*").alias("trajectories"), F.sum(F.coalesce(F.size("blocks"), F.lit(0))).alias("blocks"))
+    documents.write_metrics(totals.select("trajectories", F.greatest("blocks", F.lit(0)).alias("blocks")), path)
+    return documents.read_document(spark, path).select(F.explode("document").alias("key", "value"))
+
+
+@query
+def progress_log(spark, d):
+    """Lines of progress of every twentieth step, written and read back."""
+    path = place(spark, "log")
+    rows = history(spark).filter("train_step % 20 = 0").select(F.col("train_step").alias("step"), "loss", (F.col("loss") / 2).alias("val_loss"))
+    documents.progress_lines(rows, 400).select(F.col("line").alias("value")).write.text(path)
+    return whole(documents.read_progress(spark, path).select("step", "steps", "loss", "val_loss"))
+
+
+@query
+def parsed_lists(spark, d):
+    """How many entries the comma-separated list has that a document is."""
+    rows = table(spark, d, "documents").filter("text IS NOT NULL")
+    return whole(rows.select("doc_id", F.size(names.parsed_list(F.col("text"))).alias("entries")))
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 

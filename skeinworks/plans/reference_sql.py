@@ -6,7 +6,7 @@ from skeinworks.functions.schedules import BASE_WEIGHTS, WARMUP
 from skeinworks.functions.words import SPLIT_NAMES, WORD_SQL
 from skeinworks.schema import BIDIRECTIONAL_OBJECTIVES, CAUSAL_OBJECTIVES, OBJECTIVES
 
-MAX_LEN, SHORT, RATE, VOCABULARY, STEPS, BATCH, SEED = 1024, 256, "0.2::double", 500, 24, 4, 0
+MAX_LEN, V1_LEN, SHORT, RATE, VOCABULARY, STEPS, BATCH, VAL_BATCHES, SEED = 8192, 1024, 256, "0.2::double", 16_000, 24, 4, 3, 0
 
 
 def split_of(column: str) -> str:
@@ -54,6 +54,11 @@ WITH traj AS (
   SELECT tok.*, ex.n, ex.split FROM tok JOIN ex USING (traj_no) WHERE ex.n BETWEEN 1 AND {MAX_LEN}
 )"""
 
+#: The same with the examples of the first generation, cut and not dropped.
+CUT = f"SELECT tok.*, least(ex.n, {V1_LEN}) AS n, ex.split FROM tok JOIN ex USING (traj_no) WHERE tok.pos < {V1_LEN}"
+WHOLE = f"SELECT tok.*, ex.n, ex.split FROM tok JOIN ex USING (traj_no) WHERE ex.n BETWEEN 1 AND {MAX_LEN}"
+PRE_V1 = PRE.replace(WHOLE, CUT)
+
 ORACLES: dict[str, str] = {
     "tokenize": PRE + " SELECT traj_no, block_no, len(toks) AS tokens, md5(array_to_string(toks, ' ')) AS digest FROM typed WHERE text IS NOT NULL",
     "block_counts": PRE + " SELECT type, count(*) AS blocks FROM blk GROUP BY type",
@@ -206,7 +211,7 @@ def v2(name: str, ratio: str = RATE, keys: tuple = ()) -> tuple[str, str, str, s
 
 
 for _name in OBJECTIVES:
-    ORACLES[f"{_name}_v1"] = masked(*v1(_name), "span", _name) + f" SELECT traj_no, fell_back, {SUMS} FROM masked GROUP BY traj_no, fell_back"
+    ORACLES[f"{_name}_v1"] = masked(*v1(_name), "span", _name, source=PRE_V1) + f" SELECT traj_no, fell_back, {SUMS} FROM masked GROUP BY traj_no, fell_back"
 for _name in ["random_block", "suffix", *BIDIRECTIONAL_OBJECTIVES, *CAUSAL_OBJECTIVES]:
     *_p, _fallback = v2(_name)
     ORACLES[f"{_name}_v2"] = masked(*_p, _fallback, _name, empty_ok=_fallback == "none") + f" SELECT traj_no, {SUMS} FROM masked GROUP BY traj_no"
@@ -285,7 +290,7 @@ ORACLES |= {
     "noise_weights": THOUSAND + f" SELECT train_step, round({NOISE.format(u('t', 'train_step'))}, 6) AS t, round(least(50.0::double, 1.0::double / greatest({NOISE.format(u('t', 'train_step'))}, 0.01::double)), 6) AS weight FROM steps",
 }
 
-CODED = "(SELECT masked.*, coalesce(id, 2) AS id FROM masked LEFT JOIN vocab USING (token) WHERE split = 'train')"
+CODED = "(SELECT masked.*, coalesce(id, 2) AS id FROM masked LEFT JOIN vocab USING (token))"
 
 
 def laid_out(scored: str, by: str = "traj_no", extra: str = "", width: str = "count(*)") -> str:
@@ -298,13 +303,13 @@ def laid_out(scored: str, by: str = "traj_no", extra: str = "", width: str = "co
 *_p, _ = v2("inverse_dynamics")
 INVERSE = masked(*_p, "none", "inverse_dynamics", empty_ok=True)
 ORACLES |= {
-    "corrupt_v1": masked(*v1("next_observation"), "span", "next_observation")
+    "corrupt_v1": masked(*v1("next_observation"), "span", "next_observation", source=PRE_V1)
     + f""", scored AS (SELECT *, {u('corrupt', 'traj_no', 'pos')} AS d FROM {CODED}), marked AS (
       SELECT *, tgt AND (d < 0.3::double OR (min(CASE WHEN tgt THEN d END) OVER (PARTITION BY traj_no) >= 0.3::double AND pos = min_by(pos, CASE WHEN tgt THEN d END) OVER (PARTITION BY traj_no))) AS sc FROM scored
     ) {laid_out('sc')} FROM marked GROUP BY traj_no""",
     "corrupt_v2": INVERSE + f" {laid_out('tgt')} FROM {CODED} GROUP BY traj_no",
-    "pad_static": SUFFIX + f" {laid_out('tgt', width=f'{MAX_LEN}::bigint')} FROM {CODED} GROUP BY traj_no",
-    "masked_preview": SUFFIX + " SELECT traj_no, string_agg(CASE WHEN tgt THEN '[MASK]' ELSE token END, ' ' ORDER BY pos) FILTER (pos < 60) AS preview FROM masked WHERE split = 'train' GROUP BY traj_no",
+    "pad_static": SUFFIX.replace(WHOLE, CUT) + f" {laid_out('tgt', width=f'{V1_LEN}::bigint')} FROM {CODED} GROUP BY traj_no",
+    "masked_preview": SUFFIX + " SELECT traj_no, string_agg(CASE WHEN tgt THEN '[MASK]' ELSE token END, ' ' ORDER BY pos) FILTER (pos < 60) AS preview FROM masked GROUP BY traj_no",
 }
 
 # Losses: values of the suffix mask over sampled batches; the nll is a keyed draw.
@@ -330,7 +335,6 @@ ORACLES |= {
     "masked_loss_plain": LOSSES + " SELECT train_step, round(loss, 6) AS loss FROM step_loss",
     "accum_mean": LOSSES + """ SELECT train_step, round(sum(loss) / 2, 6) AS loss FROM (SELECT train_step, micro, coalesce(sum(nll) FILTER (scored), 0.0::double) / greatest(count(*) FILTER (scored), 1) AS loss
       FROM tokens GROUP BY train_step, micro) GROUP BY train_step""",
-    "validation_mean": LOSSES + " SELECT round(avg(loss), 6) AS val_loss FROM step_loss",
     "supervision_budget": LOSSES + " SELECT " + BUDGET.replace("tgt", "scored") + " FROM tokens",
     "obj_mean": LOSSES + f" SELECT objective, round(avg(loss), 6) AS loss FROM (SELECT {drawn_objective(u('objective', 'train_step'))} AS objective, loss FROM (SELECT *, train_step / {STEPS - 1}.0::double AS p FROM step_loss)) GROUP BY objective",
     "obj_fractional_mean": LOSSES + """, share AS (SELECT *, 1.0::double / count(*) OVER (PARTITION BY train_step) AS share FROM (SELECT DISTINCT train_step, slot, objective FROM tokens))
@@ -384,7 +388,7 @@ ORACLES["quality_checks"] = (
 STEP_RATIO = f"(0.1::double + 0.5::double * least(greatest(replaced.train_step / {STEPS - 1}.0::double, 0.0::double), 1.0::double))"
 STEP_OBJECTIVE = drawn_objective(u("objective", "replaced.train_step")).replace("(p ", f"((replaced.train_step / {STEPS - 1}.0::double) ").replace(" p ", f" (replaced.train_step / {STEPS - 1}.0::double) ")
 ORACLES["batch_v1"] = (
-    PLANNED
+    PLANNED.replace(WHOLE, CUT)
     + DRAWN.format(
         plan="replaced",
         most=BATCH,
@@ -393,25 +397,70 @@ ORACLES["batch_v1"] = (
     + branches(OBJECTIVES, lambda name, ratio, keys: (*v1(name, ratio, keys), "span"), "ratio_at", ("salt",))
     + f""", draws_of AS (SELECT *, {u('corrupt', 'traj_no', 'salt', 'pos')} AS d FROM batch), marked AS (
       SELECT *, tgt AND (d < noise OR (min(CASE WHEN tgt THEN d END) OVER w >= noise AND pos = min_by(pos, CASE WHEN tgt THEN d END) OVER w)) AS sc FROM draws_of WINDOW w AS (PARTITION BY traj_no, salt)
-    ) {laid_out('sc', 'train_step, slot, traj_no, objective', ', round(noise, 6) AS t', f'{MAX_LEN}::bigint')} FROM marked GROUP BY train_step, slot, traj_no, objective, noise"""
+    ) {laid_out('sc', 'train_step, slot, traj_no, objective', ', round(noise, 6) AS t', f'{V1_LEN}::bigint')} FROM marked GROUP BY train_step, slot, traj_no, objective, noise"""
 )
-VALIDATION = PRE + f""", rows AS (
+
+
+def validation(steps: int, k: int) -> str:
+    """Up to ``tried`` (train_step, slot, row_no): ``k`` different rows of the validation split per step, in order of drawing."""
+    return PRE + f""", rows AS (
   SELECT traj_no, n, row_number() OVER (ORDER BY traj_no) - 1 AS row_no, count(*) OVER () AS c FROM ex WHERE split = 'validation' AND n BETWEEN 1 AND {MAX_LEN}
+), each_step AS (
+  SELECT s AS train_step FROM generate_series(0, {steps - 1}) a(s)
 ), ordered AS (
-  SELECT row_no, {u('order', '0', 'row_no')} AS place FROM rows WHERE c <= {12 * BATCH}
+  SELECT train_step, row_no, {u('order', 'train_step', 'row_no')} AS place FROM rows, each_step WHERE c <= {4 * k}
 ), sampled AS (
-  SELECT floor({u('sample', '0', 'k')} * (SELECT count(*) FROM rows))::bigint AS row_no, min(k)::double AS place FROM generate_series(0, {24 * BATCH + 63}) b(k) WHERE (SELECT count(*) FROM rows) > {12 * BATCH} GROUP BY 1
+  SELECT train_step, floor({u('sample', 'train_step', 'k')} * (SELECT count(*) FROM rows))::bigint AS row_no, min(k)::double AS place
+  FROM each_step, generate_series(0, {8 * k + 63}) b(k) WHERE (SELECT count(*) FROM rows) > {4 * k} GROUP BY 1, 2
 ), tried AS (
-  SELECT row_no, row_number() OVER (ORDER BY place, row_no) - 1 AS slot FROM (SELECT * FROM ordered UNION ALL SELECT * FROM sampled)
+  SELECT train_step, row_no, row_number() OVER (PARTITION BY train_step ORDER BY place, row_no) - 1 AS slot FROM (SELECT * FROM ordered UNION ALL SELECT * FROM sampled) QUALIFY slot < {k}
 )"""
+
+
 *_p, _ = v2("next_obs")
+
+
+def next_observations(steps: int) -> str:
+    return masked(*_p, "none", "next_obs", source=validation(steps, 3 * BATCH)) + f""", kept AS (
+      SELECT train_step, traj_no, row_number() OVER (PARTITION BY train_step ORDER BY slot) - 1 AS place FROM tried JOIN rows USING (row_no) JOIN p USING (traj_no) WHERE first > 0 QUALIFY place < {BATCH}
+    )"""
+
+
 ORACLES["nextobs_batch"] = (
-    masked(*_p, "none", "next_obs", source=VALIDATION)
-    + f""", able AS (SELECT traj_no, slot FROM tried JOIN rows USING (row_no) JOIN p USING (traj_no) WHERE slot < {3 * BATCH} AND first > 0), kept AS (
-      SELECT traj_no, row_number() OVER (ORDER BY slot) - 1 AS place FROM able QUALIFY place < {BATCH}
-    ), laid AS (SELECT masked.*, place, coalesce(id, 2) AS id, max(n) OVER () AS width FROM masked JOIN kept USING (traj_no) LEFT JOIN vocab USING (token))
+    next_observations(1)
+    + f""", laid AS (SELECT masked.*, place, coalesce(id, 2) AS id, max(n) OVER () AS width FROM masked JOIN kept USING (traj_no) LEFT JOIN vocab USING (token))
     {laid_out('tgt', 'place, traj_no', width='any_value(width)')} FROM laid GROUP BY place, traj_no"""
 )
+VAL_LOSS = f""", val_tokens AS (SELECT train_step, tgt AS scored, 6.0::double * {u('val.nll', 'train_step', 'traj_no', 'pos')} AS nll FROM val_rows
+), val_steps AS (SELECT coalesce(sum(nll) FILTER (scored), 0.0::double) / greatest(count(*) FILTER (scored), 1) AS loss FROM val_tokens GROUP BY train_step
+) SELECT round(coalesce(avg(loss), 'nan'::double), 6) AS val_loss FROM val_steps"""
+ORACLES["validation_nextobs"] = next_observations(VAL_BATCHES) + ", val_rows AS (SELECT kept.train_step, masked.* FROM masked JOIN kept USING (traj_no))" + VAL_LOSS
+ORACLES["validation_mean"] = (
+    validation(VAL_BATCHES, BATCH)
+    + f", drawn AS (SELECT tried.train_step, m.*, {pick(NAMED, u('objective', 'm.traj_no', 'tried.train_step'))} AS objective FROM tried JOIN rows USING (row_no) JOIN m ON m.traj_no = rows.traj_no)"
+    + branches(BIDIRECTIONAL_OBJECTIVES, v2, RATE, ("train_step",))
+    + ", val_rows AS (SELECT * FROM batch)"
+    + VAL_LOSS
+)
+ORACLES["batch_objectives"] = (
+    BATCH_V2
+    + """ SELECT train_step, count(DISTINCT slot) AS examples, count(DISTINCT traj_no) AS different, array_to_string(list_sort(list_distinct(list(objective))), ',') AS objectives,
+      round(any_value(rate), 6) AS target, round(count(*) FILTER (tgt) / greatest(count(*) FILTER (btype <> 1), 1), 6) AS achieved FROM batch GROUP BY train_step"""
+)
+ORACLES["examples_subword"] = (
+    PRE
+    + """, said AS (SELECT traj_no, block_no, text FROM typed WHERE code IS NOT NULL AND NOT leaky AND length(text) > 0)
+    SELECT traj_no, sum(octet_length(encode(text)))::bigint AS n, count(*) AS blocks, md5(string_agg(hex(encode(text)), '' ORDER BY block_no)) AS digest FROM said GROUP BY traj_no"""
+)
+ORACLES |= {
+    "jsonl_examples": PRE + " SELECT traj_no, split, n FROM ex",
+    "vocabulary_round_trip": ORACLES["vocab_topk"],
+    "document_keys": "SELECT unnest(['mask_token_id', 'pad_token_id', 'MaskFrom']) AS key, unnest([(max(id) + 1)::varchar, '0', min(id)::varchar]) AS value FROM vocab",
+    "class_list": "SELECT DISTINCT regexp_extract(token, '^[A-Za-z0-9_]+') AS name FROM vocab WHERE regexp_matches(token, '^[A-Za-z0-9_]')",
+    "metrics_document": PRE + " SELECT unnest(['trajectories', 'blocks']) AS key, unnest([(SELECT count(*) FROM traj)::varchar, (SELECT count(*) FROM blk)::varchar]) AS value",
+    "progress_log": HISTORY.format(399) + " SELECT train_step AS step, 400::bigint AS steps, round(loss, 3) AS loss, round(loss / 2, 3) AS val_loss FROM hist WHERE train_step % 20 = 0",
+    "parsed_lists": "SELECT doc_id, len(list_filter(list_transform(string_split(text, ','), lambda x: trim(x)), lambda x: x <> '')) AS entries FROM documents WHERE text IS NOT NULL",
+}
 
 # The manifest as one JSON text: maps in order of their keys.
 

@@ -8,8 +8,8 @@ from pyspark.sql import types as T
 PAD, GOAL, THINK, ACTION, OBS = 0, 1, 2, 3, 4
 BLOCK_CODES = {"Goal": GOAL, "Think": THINK, "Action": ACTION, "Observation": OBS}
 CODE_NAMES = {GOAL: "goal", THINK: "think", ACTION: "action", OBS: "obs"}
-#: Special ids of the word vocabulary (fixed values); every function takes them as parameters.
-PAD_ID, MASK_ID, UNK_ID, BOS_ID = 0, 1, 2, 3
+#: Special ids of the word vocabulary (fixed values); every function takes them as parameters. One more is reserved.
+PAD_ID, MASK_ID, UNK_ID = 0, 1, 2
 N_SPECIAL = 4
 #: Objectives in their order (fixed values).
 CAUSAL_OBJECTIVES = ["next_action", "next_observation", "future_from_past", "full_completion", "goal_conditioned_action"]

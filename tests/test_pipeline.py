@@ -187,6 +187,33 @@ def test_vocabulary_round_trip(spark, tmp_path):
     assert [t["id"] for t in coded["tok"]] == [5] + [2] * 9
 
 
+def test_ids_of_a_large_vocabulary_and_repeated_tokens(spark):
+    """The join that is used beyond the bound gives the same, extra columns and empty examples included."""
+    words = spark.createDataFrame([("w1", 9), ("w1", 7), ("w3", 8), (None, 5), ("unused", 6)], "token string, id int")
+    rows = example(spark).withColumn("tok", F.transform("tok", lambda t: t.dropFields("id"))).withColumn("token", F.lit("clash"))
+    rows = rows.unionByName(rows.withColumns({"traj_no": F.lit(2).cast("long"), "tok": F.slice("tok", 1, 0), "n": F.lit(0)}))
+    one = sorted(map(str, vocabulary.with_ids(rows, words).collect()))
+    assert one == sorted(map(str, vocabulary.with_ids(rows.drop("token"), words, most=2).withColumn("token", F.lit("clash")).select(rows.columns).collect()))
+    assert [t["id"] for t in vocabulary.with_ids(rows, words).filter("n > 0").first()["tok"]] == [2, 7, 2, 8] + [2] * 6
+
+
+def test_first_deliveries(spark):
+    """By time, a missing time first; ties, many repeats and a table beyond the bound come to one row each."""
+    rows = [(1, 5, "a"), (1, 3, "b"), (2, 4, "c"), (2, 4, "c"), (3, None, "d"), (3, 1, "e"), (4, 1, "f"), (None, 1, "g"), (5, None, "h"), (5, None, "h"), (6, 3, "i"), (6, 2, "j"), (6, 9, "k")]
+    df = spark.createDataFrame(rows, "traj_no long, loaded_at int, v string").repartition(3)
+    for most in (1_000_000, 2):
+        got = sorted((r["traj_no"], r["v"]) for r in trajectories.delivered_once(df, most).collect())
+        assert got == [(1, "b"), (2, "c"), (3, "d"), (4, "f"), (5, "h"), (6, "j")]
+    assert trajectories.delivered_once(df.filter("false")).count() == 0 and trajectories.delivered_once(df.filter("traj_no = 4")).count() == 1
+
+
+def test_shared_folder(spark):
+    from skeinworks import session
+
+    kept = session.stash(spark.range(3), "x")
+    assert kept.count() == 3 and session.shared_dir(spark) == session.shared_dir(spark)
+
+
 def test_documents_and_logs(spark, tmp_path):
     (tmp_path / "config.json").write_text(json.dumps({"mask_token_id": 7, "hidden": 1, "pad_token_id": 0, "MaskX": "a"}, indent=1))
     doc = documents.read_document(spark, str(tmp_path / "config.json")).select(documents.matching_keys(F.col("document")).alias("m")).collect()[0]["m"]
