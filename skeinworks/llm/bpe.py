@@ -93,6 +93,7 @@ class ByteBPE:
         self.cut = regex.compile(PRETOKEN).findall
         self.queue = RankQueue(len(self.merges))
         self.known: dict[str, list[int]] = {}
+        self.older: dict[str, list[int]] = {}
 
     def merge(self, symbols: list[int]) -> list[int]:
         n, rank, queue = len(symbols), self.rank.get, self.queue
@@ -130,10 +131,12 @@ class ByteBPE:
         for piece in self.cut(text or ""):
             got = known.get(piece)
             if got is None:
-                got = self.piece(piece)
+                got = self.older.get(piece) or self.piece(piece)
                 if len(piece) <= CACHED_CHARS:
                     if len(known) >= CACHE:
-                        known.clear()
+                        # What is still in use comes back from the older half.
+                        self.older, self.known = known, {}
+                        known = self.known
                     known[piece] = got
             add(got)
         return ids

@@ -87,3 +87,14 @@ def test_counts_are_those_of_the_encoding(spark, folder):
     df = spark.read.parquet(f"{folder}/documents.parquet")
     counted = token_budget.document_counts(df).select("doc_id", "tokens")
     assert counted.join(bpe.encode_corpus(df), "doc_id").filter(F.col("tokens") != F.size("ids")).count() == 0
+
+
+def test_cache_in_two_halves(monkeypatch):
+    """A cache that overflows all the time gives the same ids."""
+    from skeinworks.llm import bpe
+
+    texts = [f"word{i % 37} other{i % 11} naïve {i}" for i in range(200)]
+    want = [bpe.ByteBPE(bpe.TOKENIZER).encode(t) for t in texts]
+    monkeypatch.setattr(bpe, "CACHE", 8)
+    small = bpe.ByteBPE(bpe.TOKENIZER)
+    assert [small.encode(t) for t in texts] == want and len(small.known) <= 8 and len(small.older) <= 8
