@@ -26,7 +26,7 @@ import re
 import unicodedata
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skeinworks.session import stash
@@ -202,11 +202,20 @@ def canonical_events(events: DataFrame, order: list[str], rows: int | None = Non
 
 
 def islands(events: DataFrame, order: list[str], rows: int | None = None) -> DataFrame:
-    """``island``: the row number in the group less that among rows of the same value; equal within a run of a value."""
+    """``island``: the row number in the group less that among rows of the same value; equal within a run of a value.
+
+    ``place`` is the row number in the group and ``rows`` how many the group has.
+    """
     events = by_group(events, rows)
     within = Window.partitionBy("session", "part").orderBy(*order)
     of_value = Window.partitionBy("session", "part", "value").orderBy(*order)
-    return events.withColumn("place", F.row_number().over(within)).withColumn("island", F.col("place") - F.row_number().over(of_value))
+    counted = events.withColumn("place", F.row_number().over(within)).withColumn("rows", F.count("*").over(Window.partitionBy("session", "part")))
+    return counted.withColumn("island", F.col("place") - F.row_number().over(of_value))
+
+
+def stands() -> list[Column]:
+    """Of the rows of a run in its group: where it begins, and whether it is the first and the last one."""
+    return [F.min("place").alias("place"), (F.min("place") == 1).alias("at_start"), (F.max("place") == F.first("rows")).alias("at_end")]
 
 
 RUN = ["session", "kind", "text", "first_seq", "last_seq", "events", "first_logged", "last_logged"]
@@ -230,7 +239,7 @@ def event_runs(log: DataFrame) -> DataFrame:
     rows = log.count()
     marked = islands(canonical_events(kept, ["seq", "tag"], rows), ["seq", "tag"], rows)
     runs = marked.groupBy("session", "part", "value", "island").agg(
-        F.min("place").alias("place"),
+        *stands(),
         F.min("kind").alias("kind"),
         F.min("text").alias("text"),
         F.min("seq").alias("first_seq"),
@@ -262,11 +271,9 @@ def joined_borders(runs: DataFrame) -> DataFrame:
     spread = runs.agg(F.max(F.greatest("part", -1 - F.col("part"))).alias("most")).first()["most"] or 0
     done = None
     while True:
-        whole = Window.partitionBy("session", "part")
-        placed = runs.withColumn("at_start", F.col("place") == F.min("place").over(whole)).withColumn("at_end", F.col("place") == F.max("place").over(whole))
-        inner = placed.filter("NOT (at_start OR at_end)").select(*RUN)
+        inner = runs.filter("NOT (at_start OR at_end)").select(*RUN)
         done = inner if done is None else done.unionByName(inner)
-        border = placed.filter("at_start OR at_end").select("part", (2 * F.col("place")).alias("place"), "at_start", "at_end", *RUN)
+        border = runs.filter("at_start OR at_end").select("part", (2 * F.col("place")).alias("place"), "at_start", "at_end", *RUN)
         # A row without text stands between the first and the last run of a stretch: these two are never joined.
         gap = border.filter("at_end AND NOT at_start").withColumns({"place": F.col("place") - 1, "text": F.lit(None).cast("string"), "events": F.lit(None).cast("long")})
         # Numbers below 0 and from 0 on meet on the last level.
@@ -275,7 +282,7 @@ def joined_borders(runs: DataFrame) -> DataFrame:
         chain = border.unionByName(gap).select(upper.alias("part"), F.col("part").alias("stretch"), F.col("place").alias("at"), F.lit(None).cast("long").alias("tag"), *RUN)
         again = islands(canonical_events(chain, ["stretch", "at"]), ["stretch", "at"])
         ends = again.filter("events IS NOT NULL").groupBy("session", "part", "value", "island").agg(
-            F.min("place").alias("place"),
+            *stands(),
             F.min("kind").alias("kind"),
             F.min("text").alias("text"),
             F.min("first_seq").alias("first_seq"),
