@@ -5,10 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: White space, Unicode's too, at either end.
+AROUND = r"^[\s\p{Z}\x{0B}\x{85}\x{1c}-\x{1f}]++|[\s\p{Z}\x{0B}\x{85}\x{1c}-\x{1f}]+$"
+
 
 def parsed_list(text: Column) -> Column:
-    """The entries of a comma-separated list, without blanks and empty ones."""
-    return F.filter(F.transform(F.split(text, ","), lambda s: F.trim(s)), lambda s: s != "")
+    """The entries of a comma-separated list, without white space around them and empty ones."""
+    return F.filter(F.transform(F.split(text, ","), lambda s: F.regexp_replace(s, AROUND, "")), lambda s: s != "")
 
 
 def leaf_names(names: DataFrame, column: str, keep: list[str], leave: list[str]) -> DataFrame:

@@ -459,7 +459,7 @@ ORACLES |= {
     "class_list": "SELECT DISTINCT regexp_extract(token, '^[A-Za-z0-9_]+') AS name FROM vocab WHERE regexp_matches(token, '^[A-Za-z0-9_]')",
     "metrics_document": PRE + " SELECT unnest(['trajectories', 'blocks']) AS key, unnest([(SELECT count(*) FROM traj)::varchar, (SELECT count(*) FROM blk)::varchar]) AS value",
     "progress_log": HISTORY.format(399) + " SELECT train_step AS step, 400::bigint AS steps, round(loss, 3) AS loss, round(loss / 2, 3) AS val_loss FROM hist WHERE train_step % 20 = 0",
-    "parsed_lists": "SELECT doc_id, len(list_filter(list_transform(string_split(text, ','), lambda x: trim(x)), lambda x: x <> '')) AS entries FROM documents WHERE text IS NOT NULL",
+    "parsed_lists": "SELECT doc_id, len(list_filter(list_transform(string_split(text, ','), lambda x: regexp_replace(x, '[\\s\\p{Z}\\x{0B}\\x{85}\\x{1c}-\\x{1f}]+', '', 'g')), lambda x: x <> '')) AS entries FROM documents WHERE text IS NOT NULL",
 }
 
 # The manifest as one JSON text: maps in order of their keys.
