@@ -98,6 +98,15 @@ def p7_fill(spark: SparkSession, folder: str) -> DataFrame:
     return packing.fill_report(p7_packing(spark, folder))
 
 
+def p7_kept(spark: SparkSession, folder: str) -> DataFrame:
+    """Per capacity what must come out whatever the packing: trajectories, tokens, pieces, divided trajectories, sequences above the capacity."""
+    placed = p7_packing(spark, folder)
+    over = placed.groupBy("pack_name", "seq_no").agg((F.sum("tokens") > F.first("max_len")).alias("over")).groupBy("pack_name").agg(F.count(F.when(F.col("over"), 1)).alias("above_capacity"))
+    each = placed.groupBy("pack_name", "traj_no").agg(F.sum("tokens").alias("tokens"), F.count("*").alias("pieces"))
+    sums = each.groupBy("pack_name").agg(F.count("*").alias("trajectories"), F.sum("tokens").alias("tokens"), F.sum("pieces").alias("pieces"), F.count(F.when(F.col("pieces") > 1, 1)).alias("divided"))
+    return sums.join(over, "pack_name")
+
+
 def p8_ids(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.encode_corpus(table(spark, folder, "documents"))
 
@@ -120,7 +129,7 @@ def p10_by_source(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: list[Callable[[SparkSession, str], DataFrame]] = [
     p1_found, p1_splits, p1_together, p1_readings, p1_incremental, p3_token_budget, p3_record_tokens, p4_found, p4_terms, p4_merged, p5_found, p5_runs, p6_found, p6_classes, p6_overlaps,
-    p7_packing, p7_fill, p8_ids, p9_selection, p9_shares, p10_found, p10_by_source,
+    p7_packing, p7_fill, p7_kept, p8_ids, p9_selection, p9_shares, p10_found, p10_by_source,
 ]
 
 

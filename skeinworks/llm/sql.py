@@ -69,3 +69,18 @@ WITH rows AS (
 """
 ORACLES["p1_found"] = EPISODES + "SELECT DISTINCT traj_no FROM keyed WHERE given IS NOT NULL AND key IN (SELECT key FROM keyed WHERE given IS NOT NULL GROUP BY key HAVING count(DISTINCT given) > 1)"
 ORACLES["p1_together"] = EPISODES + "SELECT count(DISTINCT traj_no) AS trajectories, count(DISTINCT key) AS episodes, 0::bigint AS divided FROM keyed"
+
+#: What every packing has to keep.
+ORACLES["p7_kept"] = f"""
+WITH once AS (
+  SELECT traj_no, blocks FROM trajectories WHERE traj_no IS NOT NULL QUALIFY row_number() OVER (PARTITION BY traj_no ORDER BY loaded_at NULLS FIRST) = 1
+), said AS (
+  SELECT traj_no, unnest(blocks) AS b FROM once
+), counted AS (
+  SELECT traj_no, sum(len(regexp_extract_all(lower(b.text), '{WORD_SQL}'))) AS n FROM said WHERE b.type IN ('Goal', 'Think', 'Action', 'Observation') AND b.text IS NOT NULL GROUP BY traj_no
+), sizes AS (
+  SELECT traj_no, coalesce(n, 0) AS n FROM once LEFT JOIN counted USING (traj_no)
+)
+SELECT pack_name, count(*) AS trajectories, sum(n)::bigint AS tokens, sum(greatest(1, ceil(n / max_len::double)))::bigint AS pieces, count(*) FILTER (n > max_len) AS divided, 0::bigint AS above_capacity
+FROM sizes, pack_sizes WHERE max_len >= 1 AND pack_name IS NOT NULL GROUP BY pack_name
+"""

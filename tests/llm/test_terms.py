@@ -56,7 +56,7 @@ def test_postings_of_two_loads_are_merged(spark, make):
 
 def test_same_as_sql(spark, folder):
     c = duckdb.connect()
-    for t in ("trajectories", "vocab"):
+    for t in ("trajectories", "vocab", "pack_sizes"):
         c.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{folder}/{t}.parquet')")
     for name, sql in queries.oracle_sql().items():
         ours = queries.queries()[name](spark, folder)
