@@ -15,15 +15,12 @@ def parsed_list(text: Column) -> Column:
 
 
 def leaf_names(names: DataFrame, column: str, keep: list[str], leave: list[str]) -> DataFrame:
-    """One row ``leaves``: the sorted distinct last segments of dotted names that hold a word of ``keep``.
+    """``leaf``, sorted: the distinct last segments of dotted names that hold a word of ``keep``.
 
     Where none does, those that hold no word of ``leave``.
     """
     leaf = F.element_at(F.split(column, r"\."), -1)
     leaves = names.filter(F.col(column).isNotNull()).select(leaf.alias("leaf")).distinct()
     holds = lambda words: F.lower("leaf").rlike("|".join(words)) if words else F.lit(False)
-    lists = leaves.agg(
-        F.array_sort(F.collect_list(F.when(holds(keep), F.col("leaf")))).alias("kept"),
-        F.array_sort(F.collect_list(F.when(~holds(leave), F.col("leaf")))).alias("others"),
-    )
-    return lists.select(F.when(F.size("kept") > 0, F.col("kept")).otherwise(F.col("others")).alias("leaves"))
+    some = leaves.agg(F.coalesce(F.bool_or(holds(keep)), F.lit(False))).scalar()
+    return leaves.filter(F.when(some, holds(keep)).otherwise(~holds(leave))).orderBy("leaf")

@@ -586,7 +586,7 @@ def name_extract(spark, d):
 def leaf_segments(spark, d):
     """The last segments of trajectory ids as dotted names, by the words they hold."""
     dotted = table(spark, d, "trajectories").select(F.regexp_replace("trajectory_id", r"[-/:_]", ".").alias("name"))
-    return names.leaf_names(dotted, "name", ["attempt", "run"], ["try"]).select(F.array_join("leaves", ",").alias("leaves"))
+    return names.leaf_names(dotted, "name", ["attempt", "run"], ["try"])
 
 
 # Sources and sinks: what is written to the shared folder is read back.

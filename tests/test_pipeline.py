@@ -233,6 +233,7 @@ def test_documents_and_logs(spark, tmp_path):
 
 def test_names(spark):
     dotted = spark.createDataFrame([("m.0.q_proj",), ("m.1.q_proj",), ("m.lm_head",), ("m.gate",), (None,)], "name string")
-    assert names.leaf_names(dotted, "name", ["proj"], []).collect()[0]["leaves"] == ["q_proj"]
-    assert names.leaf_names(dotted, "name", ["none"], ["head", "proj"]).collect()[0]["leaves"] == ["gate"]
+    assert [r["leaf"] for r in names.leaf_names(dotted, "name", ["proj"], []).collect()] == ["q_proj"]
+    assert [r["leaf"] for r in names.leaf_names(dotted, "name", ["none"], ["head", "proj"]).collect()] == ["gate"]
+    assert names.leaf_names(dotted.filter("false"), "name", ["proj"], []).count() == 0
     assert spark.range(1).select(names.parsed_list(F.lit(" a, b,,c ")).alias("x")).collect()[0]["x"] == ["a", "b", "c"]
