@@ -84,8 +84,8 @@ ORACLES: dict[str, str] = {
     "manifest_flagged": PRE + " SELECT count(DISTINCT traj_no) AS records_flagged, count(*) AS total_flags FROM flags",
     "name_extract": "SELECT DISTINCT name FROM (SELECT unnest(regexp_extract_all(text, 'node-([a-z]+)', 1)) AS name FROM documents)",
     "leaf_segments": """WITH leaf AS (SELECT DISTINCT list_last(string_split(regexp_replace(trajectory_id, '[-/:_]', '.', 'g'), '.')) AS leaf FROM trajectories WHERE trajectory_id IS NOT NULL),
-      some AS (SELECT bool_or(regexp_matches(lower(leaf), 'attempt|run')) AS kept FROM leaf)
-      SELECT leaf FROM leaf, some WHERE CASE WHEN kept THEN regexp_matches(lower(leaf), 'attempt|run') ELSE NOT regexp_matches(lower(leaf), 'try') END""",
+      any_kept AS (SELECT bool_or(regexp_matches(lower(leaf), 'attempt|run')) AS kept FROM leaf)
+      SELECT leaf FROM leaf, any_kept WHERE CASE WHEN kept THEN regexp_matches(lower(leaf), 'attempt|run') ELSE NOT regexp_matches(lower(leaf), 'try') END""",
 }
 
 # Vocabulary: all blocks of the training split before any filter; ties by first occurrence.
