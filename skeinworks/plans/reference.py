@@ -533,6 +533,15 @@ def quality_checks(spark, d):
     return checks.batch_checks(rows)
 
 
+@query
+def quality_checks_all(spark, d):
+    """The same over every fitting example, in batches of neighbours by number."""
+    place = sampling.dense_index(examples.not_overlong(examples.lengths(load_trajectories(spark, d)), MAX_LEN), "traj_no")
+    step = place.select("traj_no", F.floor(F.col("row_no") / BATCH).alias("train_step"))
+    masked = masks.with_drawn_mask_v2(coded(spark, d), "d_flex", F.lit(RATE), SEED)
+    return checks.batch_checks(batches.padded_to_longest(batches.corrupted_v2(masked).join(step, "traj_no"), MAX_LEN))
+
+
 @query
 def inverse_dynamics_check(spark, d):
     masked = masks.with_mask_v2(fitting(spark, d), "inverse_dynamics", F.lit(RATE), SEED)

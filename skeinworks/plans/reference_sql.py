@@ -376,15 +376,22 @@ ORACLES["pad_dynamic"] = (
     + f""", wide AS (SELECT train_step, max(n) AS width FROM batch GROUP BY train_step)
       {laid_out('tgt', 'train_step, slot, traj_no, objective', width='any_value(width)')} FROM batch JOIN wide USING (train_step) GROUP BY train_step, slot, traj_no, objective"""
 )
-ORACLES["quality_checks"] = (
-    BATCH_V2
-    + """, laid AS (SELECT *, CASE WHEN tgt OR (NOT ctx AND NOT tgt) THEN 1 ELSE id END AS inp FROM batch), tests AS (
+QUALITY = """, laid AS (SELECT *, CASE WHEN tgt OR (NOT ctx AND NOT tgt) THEN 1 ELSE id END AS inp FROM batch), tests AS (
       SELECT true AS mask_is_not_pad, bool_and(NOT (tgt AND btype = 1)) AS goal_never_scored, true AS no_pad_masked, true AS no_pad_scored,
         bool_and(NOT tgt OR inp = 1) AS scored_is_masked, bool_and(tgt OR inp = id OR inp = 1) AS rest_is_kept_or_masked,
         (SELECT bool_and(a = b) FROM (SELECT count(*) AS a, count(DISTINCT traj_no) AS b FROM (SELECT DISTINCT train_step, slot, traj_no FROM batch) GROUP BY train_step)) AS sampled_once
       FROM laid
     ) SELECT name, passed FROM (UNPIVOT tests ON COLUMNS(*) INTO NAME name VALUE passed)"""
+ORACLES["quality_checks"] = BATCH_V2 + QUALITY
+EVERY_V2 = (
+    PRE
+    + f""", drawn AS (
+  SELECT m.*, floor((dense_rank() OVER (ORDER BY traj_no) - 1) / {BATCH})::bigint AS train_step, 0 AS slot, coalesce(vocab.id, 2) AS id, {RATE} AS rate, {pick(NAMED, u('objective', 'traj_no'))} AS objective
+  FROM m LEFT JOIN vocab USING (token)
+)"""
+    + branches(BIDIRECTIONAL_OBJECTIVES, v2, "rate", ())
 )
+ORACLES["quality_checks_all"] = EVERY_V2 + QUALITY
 STEP_RATIO = f"(0.1::double + 0.5::double * least(greatest(replaced.train_step / {STEPS - 1}.0::double, 0.0::double), 1.0::double))"
 STEP_OBJECTIVE = drawn_objective(u("objective", "replaced.train_step")).replace("(p ", f"((replaced.train_step / {STEPS - 1}.0::double) ").replace(" p ", f" (replaced.train_step / {STEPS - 1}.0::double) ")
 ORACLES["batch_v1"] = (
